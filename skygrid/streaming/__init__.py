@@ -1,0 +1 @@
+"""Every source of the engine is a closed table or folder, so there is no streaming operator; see the README."""
