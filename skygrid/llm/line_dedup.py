@@ -52,7 +52,7 @@ class LineRuns:
         runs = [r for level in self.levels for r in level]
         known = [r.where("fresh").select("lo", "hi") for r in runs]
         tagged = batch.select("lo", "hi", "n", "top")
-        if known:  # a key is fresh in one run at most, so their union repeats no key
+        if known:
             seen = reduce(DataFrame.unionAll, known)
             tagged = tagged.join(seen, ["lo", "hi"], "left_anti").withColumn("fresh", F.lit(True)).unionByName(
                 tagged.join(seen, ["lo", "hi"], "left_semi").withColumn("fresh", F.lit(False))
@@ -82,9 +82,9 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, batches: int = 4
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, batches: int = 4, counts: bool = True
 ) -> DataFrame:
-    """``docs`` with the text that stays, and n_lines and n_dropped (clashing columns are replaced).
+    """``docs`` with the text that stays, and with ``counts`` n_lines and n_dropped (clashing columns are replaced).
 
     A line whose key (stripped, A-Z lower-cased) has at least ``min_chars`` code points and is in at least ``min_docs``
     documents goes, except in the largest id that holds it.  Null or empty texts are one empty line, which stays,
@@ -113,6 +113,8 @@ def dedup_lines(
         return (F.char_length(key) < min_chars) | ~F.array_contains("__drops", F.xxhash64(key))
 
     kept = F.when(F.col("__drops").isNull(), lines).otherwise(F.filter(lines, stays))
-    own = own.withColumn("__kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
-    own = own.withColumn("n_dropped", F.col("n_lines") - F.size("__kept")).withColumn(text_col, F.array_join("__kept", "\n"))
+    own = own.withColumn("__kept", kept)
+    if counts:
+        own = own.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
+    own = own.withColumn(text_col, F.array_join("__kept", "\n"))
     return own.drop("__id", "__drops", "__kept")

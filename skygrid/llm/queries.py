@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skygrid.llm import html_extract, language, lm_score, quality
+from skygrid.llm.common import held_out
 from skygrid.llm.fingerprint import edited_fingerprints
 from skygrid.llm.line_dedup import dedup_lines
 from skygrid.llm.mixing import mix_sources
@@ -55,10 +57,29 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out()))
+    out = language.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the benchmark's texts, the background all documents."""
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = quality.with_score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -110,12 +131,20 @@ WITH RECURSIVE counts AS (
 SELECT doc_id, text, lang, source, n_chars, CAST(unnest(generate_series(1, n)) AS INTEGER) AS copy FROM counted WHERE n > 0
 """
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_language": op3_language,
+    "op4_lm_score": op4_lm_score,
     "op5_near_dedup": op5_near_dedup,
+    "op6_quality": op6_quality,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_fingerprint": op8_fingerprint,
     "op9_mixing": op9_mixing,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op7_exact_top_k": OP7_SQL, "op9_mixing": OP9_SQL}
