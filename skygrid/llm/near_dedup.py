@@ -8,8 +8,9 @@ place left out, and every pair under the distance threshold meets in some index
 
 Links are confirmed on the full shingle sets.  Equal sets are one class, so copies never multiply.  In an index key
 every class is first held against the key's smallest class only; what those links join needs no further look.
-Only classes of one key that are still in different components are compared with one another, in blocks of
-signatures, however many there are; nothing is capped.
+Only classes of one key that are still in different components are compared with one another, in blocks, however many there
+are; nothing is capped.  There a second signature of 512 values of 8 bits decides which pairs are worth reading, and a
+pair is told by the first of the keys it shares only.
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ from skygrid.llm.components import connected
 CHUNKS, PLACES, SIZE = 7, 4, 64
 #: Differences of 64 values beyond which a pair is dropped before its sets are read: 1e-6 of pairs at 0.85 exceed it.
 FAR = {0.85: 26, 0.8: 31}
+WIDE = 512
+#: The same for 512 values: 5 standard deviations above the mean.
+FAR_WIDE = {0.85: 118, 0.8: 149}
 BLOCK = 1024
+_A32 = (mix(np.arange(2001, WIDE + 2001, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B32 = (mix(np.arange(3001, WIDE + 3001, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32)
 _A = mix(np.arange(1, SIZE + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 _B = mix(np.arange(1001, SIZE + 1001, dtype=np.uint64) * GOLDEN)
 
@@ -60,9 +66,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def signature(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows of 64 16-bit MinHash values; zeros for empty sets."""
-    out = np.zeros((len(sets), SIZE), np.uint16)
+def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of 64 16-bit and of 512 8-bit MinHash values; zeros for empty sets."""
+    out, wide = np.zeros((len(sets), SIZE), np.uint16), np.zeros((len(sets), WIDE), np.uint8)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         lengths = np.array([len(sets[i]) for i in full])
@@ -73,11 +79,18 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
             np.bitwise_xor(flat, _B[k], out=scratch)
             np.multiply(scratch, _A[k], out=scratch)
             out[full, k] = mix(np.minimum.reduceat(scratch, starts)) & np.uint64(0xFFFF)
-    return out
+        short = (flat >> np.uint64(32)).astype(np.uint32)
+        scratch, least = np.empty_like(short), np.empty((WIDE, len(full)), np.uint32)
+        for k in range(WIDE):
+            np.bitwise_xor(short, _B32[k], out=scratch)
+            np.multiply(scratch, _A32[k], out=scratch)
+            np.minimum.reduceat(scratch, starts, out=least[k])
+        wide[full] = (mix(least.astype(np.uint64)) & np.uint64(0xFF)).T
+    return out, wide
 
 
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, lo, hi, sig): set size, two 64-bit hashes of the set, packed signature."""
+    """(doc_id, n_shingles, lo, hi, sig, wide): set size, two 64-bit hashes of the set, packed signatures."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +101,7 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                 sums = [mix(s) for s in sets]
                 lo = np.array([s.sum(dtype=np.uint64) for s in sums], np.uint64)
                 hi = np.array([np.bitwise_xor.reduce(mix(s + GOLDEN)) if len(s) else 0 for s in sums], np.uint64)
-                sig = signature(sets)
+                sig, wide = signature(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -96,15 +109,16 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                         pa.array(lo.view(np.int64)),
                         pa.array(hi.view(np.int64)),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
+                        pa.array([x.tobytes() for x in wide], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "lo", "hi", "sig"],
+                    ["doc_id", "n_shingles", "lo", "hi", "sig", "wide"],
                 )
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_shingles long, lo long, hi long, sig binary")
+    return own.mapInArrow(run, "doc_id long, n_shingles long, lo long, hi long, sig binary, wide binary")
 
 
-def _sigs(column: pa.Array) -> np.ndarray:
+def _sigs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SIZE)
 
 
@@ -181,10 +195,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return own.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of the first index key that signatures ``x`` share with ``y``, for pairs that share one."""
+    same = (x[..., : CHUNKS * PLACES] == y[..., : CHUNKS * PLACES]).reshape(-1, CHUNKS, PLACES)
+    chunk = (same.sum(axis=2) >= PLACES - 1).argmax(axis=1)
+    own = same[np.arange(len(same)), chunk]
+    return chunk * PLACES + np.where(own.all(axis=1), 0, (~own).argmax(axis=1))
+
+
 def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
-    """Near pairs inside (key, pair of blocks) groups: rows (key, p, blk, rep, comp, sig) of one group stand together."""
+    """Near pairs inside (key, pair of blocks) groups: rows (key, p, blk, rep, comp, sig, wide) of one group stand together."""
 
-    def compare(blk: np.ndarray, rep: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(number: int, blk: np.ndarray, rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, last = blk.min(), blk.max()
         left = np.flatnonzero(blk == first)
         right = left if first == last else np.flatnonzero(blk == last)
@@ -192,10 +214,13 @@ def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
         for i in left:
             other = right[right > i] if first == last else right
             other = other[comp[other] != comp[i]]
-            near = other[(sig[other] != sig[i]).sum(axis=1) <= far]
-            a.append(np.minimum(rep[i], rep[near]))
-            b.append(np.maximum(rep[i], rep[near]))
-        return np.concatenate(a), np.concatenate(b)
+            other = other[(wide[other] != wide[i]).sum(axis=1) <= far]
+            if len(other):
+                other = other[_first_key(sig[other], sig[i]) == number]
+                a.append(np.minimum(rep[i], rep[other]))
+                b.append(np.maximum(rep[i], rep[other]))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -214,23 +239,25 @@ def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
         key, p = table.column("key").to_numpy(), table.column("p").to_numpy()
         bounds = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1])) + 1, len(key)]
         blk, rep, comp = (table.column(c).to_numpy() for c in ("blk", "rep", "comp"))
-        sig = _sigs(table.column("sig").combine_chunks())
+        sig = _sigs(table.column("sig"))
+        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
+        number = key >> 48
         a, b = [], []
         sizes = np.diff(bounds)
         two = bounds[:-1][sizes == 2]
         if len(two):
-            near = ((sig[two] != sig[two + 1]).sum(axis=1) <= far) & (comp[two] != comp[two + 1])
-            two = two[near]
+            two = two[comp[two] != comp[two + 1]]
+            two = two[(wide[two] != wide[two + 1]).sum(axis=1) <= far]
+            two = two[_first_key(sig[two], sig[two + 1]) == number[two]]
             a.append(np.minimum(rep[two], rep[two + 1]))
             b.append(np.maximum(rep[two], rep[two + 1]))
         for i in np.flatnonzero(sizes > 2):
             s = slice(bounds[i], bounds[i + 1])
-            x, y = compare(blk[s], rep[s], comp[s], sig[s])
+            x, y = compare(int(number[bounds[i]]), blk[s], rep[s], comp[s], sig[s], wide[s])
             a.append(x)
             b.append(y)
         if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -244,12 +271,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     kept, its component null.  Rows that repeat an id belong together.  Other columns are not looked at.  An
     empty table gives no rows.
     """
-    far = next((v for k, v in sorted(FAR.items(), reverse=True) if percent / 100 >= k), SIZE)
+    far, far_wide = (next((v for k, v in sorted(t.items(), reverse=True) if percent / 100 >= k), n) for t, n in ((FAR, SIZE), (FAR_WIDE, WIDE)))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sigs = cut(signatures(docs, words))
     small_batches(docs.sparkSession)
     some = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
+    classes = cut(some.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("wide").alias("wide")))
 
     keys = index_keys(classes)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -264,17 +291,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     open_keys = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y")
     open_keys = open_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     rows = left.join(open_keys, "key").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    rows = rows.join(classes.select("rep", "sig"), "rep")
+    rows = rows.join(classes.select("rep", "sig", "wide"), "rep")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("p", F.least("blk", "other").cast("long") * F.lit(1 << 31) + F.greatest("blk", "other"))
-    rows = rows.select("key", "p", "blk", "rep", "comp", "sig").repartition("key", "p").sortWithinPartitions("key", "p")
-    rest = cut(_block_pairs(rows, far).join(star, ["a", "b"], "left_anti"))
+    rows = rows.select("key", "p", "blk", "rep", "comp", "sig", "wide").repartition("key", "p").sortWithinPartitions("key", "p")
+    rest = cut(_block_pairs(rows, far_wide).join(star, ["a", "b"], "left_anti"))
     more = cut(confirmed(rest, docs, words, percent))
     if not more.isEmpty():
         comps = connected(links.unionAll(more))
 
     found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("lo", "hi", "n_shingles", F.coalesce("component", "rep").alias("of"))
-    out = sigs.drop("sig").join(found, ["lo", "hi", "n_shingles"], "left")
+    out = sigs.drop("sig", "wide").join(found, ["lo", "hi", "n_shingles"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("of")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
