@@ -29,8 +29,8 @@ CHUNKS, PLACES, SIZE = 7, 4, 64
 #: Differences of 64 values beyond which a pair is dropped before its sets are read: 1e-6 of pairs at 0.85 exceed it.
 FAR = {0.85: 26, 0.8: 31}
 WIDE = 512
-#: The same for 512 values: 5 standard deviations above the mean.
-FAR_WIDE = {0.85: 118, 0.8: 149}
+#: The same for 512 values: 4.6 standard deviations above the mean.
+FAR_WIDE = {0.85: 114, 0.8: 144}
 BLOCK = 1024
 _A32 = (mix(np.arange(2001, WIDE + 2001, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B32 = (mix(np.arange(3001, WIDE + 3001, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32)
@@ -163,7 +163,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     straight to the comparison.
     """
     small_batches(docs.sparkSession, 500)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
     own = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     own = own.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
