@@ -293,7 +293,7 @@ def extract(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.05, ma
         from skygrid.llm.common import cut
 
         lists = cut(templates).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
-        own = own.join(lists, "host", "left")
+        own = own.join(lists, "host", "left").select("page_id", "url", "host", "html", "hashes")
     small_batches(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
