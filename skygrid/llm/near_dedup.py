@@ -10,7 +10,8 @@ Links are confirmed on the full shingle sets.  Equal sets are one class, so copi
 every class is first held against the key's smallest class only; what those links join needs no further look.
 Only classes of one key that are still in different components are compared with one another, in blocks, however many there
 are; nothing is capped.  There a second signature of 512 values of 8 bits decides which pairs are worth reading, and a
-pair is told by the first of the keys it shares only.
+pair is told by the first of the keys it shares only.  Such pairs are never rows: a block keeps a list of partners for each
+class, fetches each text once, and gives the links of a spanning forest, so what is written grows with the members of a block.
 """
 
 from __future__ import annotations
@@ -156,6 +157,41 @@ def _near(pairs: DataFrame, classes: DataFrame, far: int) -> DataFrame:
     return own.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _column_sets(column: pa.Array | pa.ChunkedArray, words: int) -> list[np.ndarray]:
+    data, offsets = text_buffers(column)
+    return [s for i, j in row_chunks(offsets, 1 << 20) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)]
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets, false if one is empty."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(short) or len(short) * 100 < percent * len(long):
+        return False
+    at = np.searchsorted(long, short)
+    both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _bounds(table: pa.Table) -> np.ndarray:
+    """Where the runs of equal (key, p) begin, and the end."""
+    key, p = table.column("key").to_numpy(), table.column("p").to_numpy()
+    return np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1])) + 1, len(key)]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole (key, p) groups from batches in which a group's rows stand together."""
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        last = int(_bounds(held)[-2]) if len(held) else 0
+        if last:
+            yield held.slice(0, last)
+            held = held.slice(last)
+    if held is not None and len(held):
+        yield held
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on the full shingle sets of whole texts.
 
@@ -169,8 +205,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     own = own.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def sets(column: pa.Array) -> list[np.ndarray]:
-        data, offsets = text_buffers(column)
-        return [s for i, j in row_chunks(offsets, 1 << 20) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)]
+        return _column_sets(column, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,10 +221,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             of = np.searchsorted(new, np.arange(len(a)), side="right") - 1
             keep = np.zeros(len(a), bool)
             for i, right in enumerate(sets(batch.column(3))):
-                x = left[of[i]]
-                if min(len(x), len(right)) * 100 >= percent * max(len(x), len(right)) and len(x):
-                    both = len(np.intersect1d(x, right, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(x) + len(right) - both)
+                keep[i] = _alike(left[of[i]], right, percent)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return own.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -204,7 +236,10 @@ def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
-    """Near pairs inside (key, pair of blocks) groups: rows (key, p, blk, rep, comp, sig, wide) of one group stand together."""
+    """Near pairs inside (key, pair of blocks) groups as (key, p, doc_id, others), others being the larger ends.
+
+    Rows (key, p, blk, rep, comp, sig, wide) of one group stand together.  Each end of a pair gets one row.
+    """
 
     def compare(number: int, blk: np.ndarray, rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, last = blk.min(), blk.max()
@@ -223,26 +258,17 @@ def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
         return np.concatenate([none, *a]), np.concatenate([none, *b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            key, p = held.column("key").to_numpy(), held.column("p").to_numpy()
-            new = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1])) + 1
-            if len(new):
-                yield from done(held.slice(0, int(new[-1])))
-                held = held.slice(int(new[-1]))
-        if held is not None and len(held):
-            yield from done(held)
+        for table in _whole_groups(batches):
+            yield from done(table)
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, p = table.column("key").to_numpy(), table.column("p").to_numpy()
-        bounds = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1])) + 1, len(key)]
+        bounds = _bounds(table)
         blk, rep, comp = (table.column(c).to_numpy() for c in ("blk", "rep", "comp"))
         sig = _sigs(table.column("sig"))
         wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
         number = key >> 48
-        a, b = [], []
+        a, b, row = [], [], []
         sizes = np.diff(bounds)
         two = bounds[:-1][sizes == 2]
         if len(two):
@@ -251,15 +277,76 @@ def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
             two = two[_first_key(sig[two], sig[two + 1]) == number[two]]
             a.append(np.minimum(rep[two], rep[two + 1]))
             b.append(np.maximum(rep[two], rep[two + 1]))
+            row.append(two)
         for i in np.flatnonzero(sizes > 2):
             s = slice(bounds[i], bounds[i + 1])
             x, y = compare(int(number[bounds[i]]), blk[s], rep[s], comp[s], sig[s], wide[s])
             a.append(x)
             b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            row.append(np.full(len(x), bounds[i]))
+        if sum(map(len, a)):
+            yield partners(key, p, np.concatenate(row), np.concatenate(a), np.concatenate(b))
+
+    def partners(key: np.ndarray, p: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, a, row))
+        row, a, b = row[order], a[order], b[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (a[1:] != a[:-1])])
+        count = np.diff(np.r_[first, len(a)])
+        # The larger ends need their texts as well; those that are a smaller end too have a row already.
+        ids, rows_of = np.r_[a[first], b], np.r_[row[first], row]
+        n_others = np.r_[count, np.zeros(len(b), np.int64)]
+        _, one = np.unique(np.stack([rows_of, ids]), axis=1, return_index=True)
+        one.sort()
+        offsets = np.r_[0, np.cumsum(n_others[one])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[rows_of[one]]), pa.array(p[rows_of[one]]), pa.array(ids[one]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(b))],
+            ["key", "p", "doc_id", "others"],
+        )
+
+    return rows.mapInArrow(run, "key long, p long, doc_id long, others array<long>")
+
+
+def confirmed_in_groups(lists: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between the doc_id and the others of rows (key, p, doc_id, others), on the sets of whole texts.
+
+    Every other id has a row of its own in its (key, p) group.  A pair whose ends are joined already by links of
+    the same group is left out: components stay the same.
+    """
+    small_batches(docs.sparkSession, 500)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = lists.join(texts, "doc_id").select("key", "p", "doc_id", "others", "text")
+
+    def links(table: pa.Table) -> tuple[list[int], list[int]]:
+        ids, others = table.column("doc_id").to_pylist(), table.column("others").to_pylist()
+        sets = _column_sets(table.column("text"), words)
+        at, root, a, b = {}, {x: x for x in ids}, [], []
+        for i, x in enumerate(ids):
+            at.setdefault(x, []).append(i)
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, x in enumerate(ids):
+            for y in others[i]:
+                if top(x) != top(y) and any(_alike(sets[i], sets[j], percent) for j in at[y]):
+                    root[top(y)] = top(x)
+                    a.append(x)
+                    b.append(y)
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            bounds, a, b = _bounds(table), [], []
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                x, y = links(table.slice(int(i), int(j - i)))
+                a += x
+                b += y
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return own.repartition("key", "p").sortWithinPartitions("key", "p").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,8 +382,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("p", F.least("blk", "other").cast("long") * F.lit(1 << 31) + F.greatest("blk", "other"))
     rows = rows.select("key", "p", "blk", "rep", "comp", "sig", "wide").repartition("key", "p").sortWithinPartitions("key", "p")
-    rest = cut(_block_pairs(rows, far_wide).join(star, ["a", "b"], "left_anti"))
-    more = cut(confirmed(rest, docs, words, percent))
+    more = cut(confirmed_in_groups(cut(_block_pairs(rows, far_wide)), docs, words, percent))
     if not more.isEmpty():
         comps = connected(links.unionAll(more))
 
