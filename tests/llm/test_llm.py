@@ -281,24 +281,55 @@ def test_quality(spark):
     assert quality.with_score(docs.limit(2), nothing).count() == 2
 
 
-def test_lm_score(spark):
-    docs = documents(spark, ["the sea and the sea", "buy now buy now", None, "", "word " * 20_000])
-    target = spark.createDataFrame([("the sea and the wind",), (None,)], "text string")
-    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target).collect()}
-    assert got[0].score < got[1].score and got[0].n_tokens == 5 and (got[2].n_tokens, got[2].score) == (0, 0.0) and len(got) == 5
-    import pyarrow as pa
-
-    from skygrid.llm.common import text_buffers
-
-    table = np.zeros(lm_score.SIZE)
-    data = text_buffers(pa.array(["the sea and the wind"]))
-    lm_score.add_counts(table, *data)
-    m = lm_score.Bigrams(table).log2()
-    word, before, pair, _ = lm_score.token_slots(*text_buffers(pa.array(["the sea and the sea"])))
-    single = lambda n: (n + lm_score.EXTRA) / (5 + lm_score.EXTRA * lm_score.WORDS)
-    want = [0.6 * j + 0.4 * single(n) for j, n in ((1, 2), (0.5, 1), (1, 1), (1, 2), (0.5, 1))]
-    assert got[0].target_loss == pytest.approx(-np.log2(want).mean(), rel=1e-4)
-    assert lm_score._losses(m, word, before, pair).mean() == pytest.approx(got[0].target_loss, rel=1e-5)
+@pytest.mark.parametrize("block_bytes", [lm_score.BLOCK_BYTES, 64, 3000])
+def test_lm_score(spark, block_bytes):
+    rng = random.Random(5)
+    texts = ["the sea and the sea", "buy now Buy now", None, "", " \t\n", "word " * 20_000, "a Été\x0bété b", "the sea and the sea"]
+    texts += [" ".join(rng.choice("the sea and wind rain of salt".split()) for _ in range(40)) for _ in range(30)]
+    docs = documents(spark, [*texts, "no id", "twice", "twice"], [*range(len(texts)), None, 7, 7])
+    goals = ["the sea and the wind", None, "salt  of the SEA"]
+    target = spark.createDataFrame([(t,) for t in goals], "text string")
+
+    def words(text):
+        return (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+
+    def model(texts):
+        pairs = collections.Counter(p for t in texts for p in itertools.pairwise([None, *words(t)]))
+        single, context = collections.Counter(), collections.Counter()
+        for (v, w), n in pairs.items():
+            single[w] += n
+            context[v] += n
+        return pairs, single, context, sum(single.values())
+
+    models = [model(goals), model([*texts, "no id", "twice", "twice"])]
+    both = sum(m[3] for m in models)
+
+    def loss(text, m):
+        w, (pairs, single, context, n) = words(text), models[m]
+        p = [0.6 * pairs[v, x] / max(context[v], 1) + 0.35 * single[x] / n + 0.05 * sum(k[1][x] for k in models) / both for v, x in itertools.pairwise([None, *w])]
+        return -np.log2(p).mean() if w else 0.0
+
+    got = lm_score.cross_entropy_difference(docs, target, block_bytes=block_bytes).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    assert len(got) == len(texts) + 3 and len(by[None]) == 1 and len(by[7]) == 3
+    for i, t in [*enumerate(texts), (None, "no id")]:
+        r = min(by[i], key=lambda r: abs(r.n_tokens - len(words(t))))
+        assert r.n_tokens == len(words(t)) and r.target_loss == pytest.approx(loss(t, 0)) and r.background_loss == pytest.approx(loss(t, 1))
+        assert r.score == pytest.approx(r.target_loss - r.background_loss)
+    assert by[0][0].score < by[1][0].score
+
+
+def test_lm_score_of_odd_tables(spark):
+    docs, target = documents(spark, ["a b", None]), spark.createDataFrame([("a b",)], "text string")
+    assert lm_score.cross_entropy_difference(docs.where("false"), target).count() == 0
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target.where("false")).collect()}
+    assert got[0].target_loss == pytest.approx(-np.log2(0.05 * 0.5)) and got[1].score == 0
+    keys = np.sort(np.random.default_rng(0).integers(0, 2**64, 5000, np.uint64))
+    assert (lm_score.unpack_keys(lm_score.pack_keys(keys)) == keys).all()
+    at = lm_score.bucket_bounds(keys, 7)
+    assert at[0] == 0 and at[-1] == 5000 and len(at) == 8
 
 
 def test_html(spark):
