@@ -72,14 +72,23 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: the high planes of small ones are zeros, which a shuffle compresses away."""
+    return numbers.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(raw: list[bytes]) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel() for x in raw]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, byte plane by byte plane: the high planes are zeros, which a shuffle compresses away."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending keys as differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(unpack([raw]), dtype=np.uint64)
 
 
 def _request(block: int | None, column: pa.Array | pa.ChunkedArray, buckets: int) -> pa.RecordBatch:
@@ -92,7 +101,7 @@ def _request(block: int | None, column: pa.Array | pa.ChunkedArray, buckets: int
             pa.array([block] * len(full), pa.int64()),
             pa.array(full, pa.int64()),
             pa.array([pack_keys(keys[c]) for c in cuts], pa.binary()),
-            pa.array([counts[c].astype("<i8").tobytes() for c in cuts], pa.binary()),
+            pa.array([pack(counts[c]) for c in cuts], pa.binary()),
         ],
         ["block", "bucket", "keys", "counts"],
     )
@@ -103,13 +112,13 @@ def _answer(table: pa.Table) -> pa.Table:
     blocks = table.column("block").to_pylist()
     keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     sizes = np.array([len(k) for k in keys])
-    counts = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist()])
+    counts = unpack(table.column("counts").to_pylist())
     of_target = np.repeat([b is None for b in blocks], sizes)
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = [np.bincount(at, counts * own).astype("<i8")[at] for own in (of_target, ~of_target)]
+    totals = [np.bincount(at, counts * own).astype(np.uint64)[at] for own in (of_target, ~of_target)]
     ends = np.cumsum(sizes)
     asked = [k for k, b in enumerate(blocks) if b is not None]
-    sums = [pa.array([t[ends[k] - sizes[k] : ends[k]].tobytes() for k in asked], pa.binary()) for t in totals]
+    sums = [pa.array([pack(t[ends[k] - sizes[k] : ends[k]]) for k in asked], pa.binary()) for t in totals]
     own = pa.array([blocks[k] for k in asked], pa.int64())
     return pa.table([own, pa.array([table.column("bucket")[0].as_py()] * len(asked), pa.int64()), *sums], ["block", "bucket", "target", "background"])
 
@@ -123,7 +132,7 @@ def _score(docs: pa.Table, answers: pa.Table, totals: tuple[int, int]) -> pa.Tab
     text, ids = docs.column("text"), docs.column("doc_id").combine_chunks()
     keys, _ = distinct_keys(text)
     answers = answers.sort_by("bucket")
-    sums = [np.frombuffer(b"".join(answers.column(c).to_pylist()), "<i8") for c in ("target", "background")]
+    sums = [unpack(answers.column(c).to_pylist()).astype(np.int64) for c in ("target", "background")]
     if any(len(s) != len(keys) for s in sums):
         raise AssertionError("a block's answers don't fit its keys")
     n, losses = np.zeros(len(docs), np.int64), np.zeros((2, len(docs)))
