@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -153,36 +151,3 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     places = within + np.repeat(starts, lengths)
     terms = VALUES[fold][data[places]] * powers(int(lengths.max()))[within]
     return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * GOLDEN)
-
-
-def dense_sum(texts: DataFrame, update: Callable[[np.ndarray, np.ndarray, np.ndarray], None], size: int, block: int = 4096) -> np.ndarray:
-    """The sum, over all rows of a one-column table of texts, of what ``update(table, data, offsets)`` adds to ``size`` numbers.
-
-    A task adds to one table of its own and hands on the blocks it touched; tasks by block add those up as they
-    stream in.  What reaches the driver is the table, whatever the input.
-    """
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(-(-size // block) * block)
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for i, j in row_chunks(offsets, 1 << 19):
-                update(table, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        parts = table.reshape(-1, block)
-        for k in np.flatnonzero(parts.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], ["block", "sums"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw)
-                held[k] = held[k] + part if k in held else part
-        for k, part in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "sums"])
-
-    parts = texts.mapInArrow(add, "block int, sums binary").repartition("block").mapInArrow(merge, "block int, sums binary")
-    out = np.zeros(-(-size // block) * block)
-    for row in parts.collect():  # size numbers at most
-        out[row.block * block : (row.block + 1) * block] += np.frombuffer(row.sums)
-    return out[:size]

@@ -1,88 +1,272 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
 Every token has a fixed sparse ternary index vector.  A token's word vector is the sum of the index vectors of its
-neighbours over all documents, less what its frequency alone would give, at unit length (Kanerva et al., 2000).  Tokens are
-hashed to 2**14 rows, so the vectors are one table of fixed size.  A document is the mean and the spread of its tokens'
-vectors.  The network is trained in numpy; a temperature fitted on rows that it didn't train on calibrates its probabilities.
+neighbours over all documents, less what its frequency alone would give, at unit length (Kanerva et al., 2000).  Every
+token has a vector of its own, known by a 64-bit hash: the sums are whole numbers in a distributed table that grows with the
+vocabulary, cut by key range into buckets.  Documents to score are dealt into blocks of bounded bytes, which ask buckets
+for their distinct tokens.  A document is the mean and the spread of its tokens' vectors.  The network is trained in
+numpy; a temperature fitted on rows that it didn't train on calibrates its probabilities.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrid.llm.common import GOLDEN, dense_sum, kind_runs, mix, row_chunks, run_hashes, small_batches, text_buffers
+from skygrid.llm.common import GOLDEN, cut, kind_runs, mix, row_chunks, run_hashes, small_batches, text_buffers
+from skygrid.llm.lm_score import bucket_bounds
 from skygrid.llm.tokens import _KINDS
 
-ROW_BITS, DIM, NONZERO, WINDOW = 14, 64, 4, 2
-ROWS = 1 << ROW_BITS
-REPEAT = 0
-_draws = mix(np.arange(ROWS * NONZERO, dtype=np.uint64).reshape(ROWS, NONZERO) * GOLDEN)
-INDEX_AT = (_draws % np.uint64(DIM)).astype(np.int64)
-INDEX_SIGN = np.where((_draws >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+DIM, NONZERO, WINDOW = 64, 4, 2
+REPEAT = np.uint64(0)
+#: Bytes of text that a block holds, but for the last text in it, and for which there is a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+SUMS = "bucket long, keys binary, counts binary, sums binary"
 
 
-def token_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row of the vector table and document of each token: a run of letters, digits or punctuation.
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes, signs folded in, high planes of zeros left out."""
+    n = numbers.astype(np.int64, copy=False).ravel()
+    n = ((n << 1) ^ (n >> 63)).view(np.uint64)
+    planes = max(1, -(-int(n.max()).bit_length() // 8)) if len(n) else 1
+    raw = b"".join((n >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(planes))
+    return np.array([len(n), planes], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    size, planes = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+    parts = np.frombuffer(pa.decompress(raw[16:], size * planes, "zstd", asbytes=True), np.uint8).reshape(planes, size)
+    n = np.zeros(size, np.uint64)
+    for k in range(planes):
+        n |= parts[k].astype(np.uint64) << np.uint64(8 * k)
+    return (n >> np.uint64(1)).view(np.int64) ^ -(n & np.uint64(1)).view(np.int64)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw).view(np.uint64), dtype=np.uint64)
+
+
+def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero components of each token's index vector."""
+    draws = mix(mix(keys)[:, None] + np.arange(1, NONZERO + 1, dtype=np.uint64) * GOLDEN)
+    return (draws % np.uint64(DIM)).astype(np.int64), np.where((draws >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+
+
+def token_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit key and document of each token: a run of letters, digits or punctuation.
 
     A token equal to the one before, or to the one before that, is the token "repeat".
     """
     starts, ends, docs = kind_runs(_KINDS[data], offsets)
     h = run_hashes(data, starts, ends, fold=False)
-    rows = (h >> np.uint64(64 - ROW_BITS)).astype(np.int64)
-    rows[rows == REPEAT] = 1
+    keys = np.maximum(h, np.uint64(1))
     letters = _KINDS[data[starts]] == 1 if len(starts) else np.zeros(0, bool)
     for back in (1, 2):
         if len(h) > back:
             same = (h[back:] == h[:-back]) & (docs[back:] == docs[:-back]) & letters[back:]
-            rows[back:][same] = REPEAT
-    return rows, docs
+            keys[back:][same] = REPEAT
+    return keys, docs
+
+
+def _chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    data, offsets = text_buffers(column)
+    for i, j in row_chunks(offsets, 1 << 19):
+        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def add_contexts(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
-    """Add the index vectors of neighbours within the window to each token's row; the last ROWS numbers count neighbours."""
-    rows, docs = token_rows(data, offsets)
-    if not len(rows):
-        return
-    sums, counts = table[: ROWS * DIM], table[ROWS * DIM : ROWS * DIM + ROWS]
-    at, weight = [], []
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
+NONE: Sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, DIM), np.int32))
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray) -> Sums:
+    """The distinct tokens, ascending; how many neighbours each has within the window, and the sum of their index vectors."""
+    tokens, docs = token_keys(data, offsets)
+    keys, own = np.unique(tokens, return_inverse=True)
+    places, signs = index_vectors(keys)
+    counts, at, weight = np.zeros(len(keys), np.int64), [np.zeros(0, np.int64)], [np.zeros(0)]
     for gap in range(1, WINDOW + 1):
         near = np.flatnonzero(docs[gap:] == docs[:-gap]) if len(docs) > gap else np.zeros(0, np.int64)
-        for a, b in ((rows[near], rows[near + gap]), (rows[near + gap], rows[near])):
-            at.append((a[:, None] * DIM + INDEX_AT[b]).ravel())
-            weight.append(INDEX_SIGN[b].ravel())
-            counts += np.bincount(a, minlength=ROWS)
-    sums += np.bincount(np.concatenate(at), np.concatenate(weight), minlength=ROWS * DIM)
-
-
-def word_vectors(texts: DataFrame) -> np.ndarray:
-    """The ROWS x DIM table of word vectors of all texts of a one-column table."""
-    sums = dense_sum(texts, add_contexts, ROWS * DIM + ROWS)
-    vectors, counts = sums[: ROWS * DIM].reshape(ROWS, DIM), sums[ROWS * DIM :]
-    usual = vectors.sum(axis=0) / max(1.0, counts.sum())
-    vectors = vectors - counts[:, None] * usual
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return (vectors / np.maximum(length, 1e-9)).astype(np.float32)
-
-
-def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the word vectors of each text, and its share of repeats; zeros for no tokens."""
-    rows, docs = token_rows(data, offsets)
+        for a, b in ((own[near], own[near + gap]), (own[near + gap], own[near])):
+            at.append((a[:, None] * DIM + places[b]).ravel())
+            weight.append(signs[b].ravel())
+            counts += np.bincount(a, minlength=len(keys))
+    sums = np.bincount(np.concatenate(at), np.concatenate(weight), minlength=len(keys) * DIM)
+    return keys, counts, sums.astype(np.int32).reshape(-1, DIM)
+
+
+def merged(parts: list[Sums]) -> Sums:
+    """The totals of several tables of contexts."""
+    keys = np.unique(np.concatenate([NONE[0], *(p[0] for p in parts)]))
+    counts, sums = np.zeros(len(keys), np.int64), np.zeros((len(keys), DIM), np.result_type(np.int32, *(p[2] for p in parts)))
+    for own, n, part in parts:
+        at = np.searchsorted(keys, own)
+        counts[at] += n
+        sums[at] += part
+    return keys, counts, sums
+
+
+def _rows(table: Sums, buckets: int) -> pa.RecordBatch:
+    keys, counts, sums = table
+    at = bucket_bounds(keys, buckets)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    cuts = [slice(at[b], at[b + 1]) for b in full]
+    columns = [[pack_keys(keys[c]) for c in cuts], [pack(counts[c]) for c in cuts], [pack(sums[c]) for c in cuts]]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "keys", "counts", "sums"])
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """One row of a bucket's totals from what tasks counted, a row at a time."""
+    columns = [table.column(c) for c in ("keys", "counts", "sums")]
+    keys = np.zeros(0, np.uint64)
+    for raw in columns[0]:
+        keys = np.union1d(keys, unpack_keys(raw.as_py()))
+    counts, sums = np.zeros(len(keys), np.int64), np.zeros((len(keys), DIM), np.int64)
+    for k, n, part in zip(*columns, strict=True):
+        at = np.searchsorted(keys, unpack_keys(k.as_py()))
+        counts[at] += unpack(n.as_py())
+        sums[at] += unpack(part.as_py()).reshape(-1, DIM)
+    row = [pa.array([x], pa.binary()) for x in (pack_keys(keys), pack(counts), pack(sums))]
+    return pa.table([table.column("bucket").slice(0, 1), *row], ["bucket", "keys", "counts", "sums"])
+
+
+@dataclass
+class Words:
+    """A row of ``SUMS`` for each bucket of tokens, the number of buckets, and the sum of all vectors over the count of all."""
+
+    table: DataFrame
+    buckets: int
+    usual: np.ndarray
+
+
+def _bytes(texts: DataFrame, text_col: str) -> int:
+    return texts.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+
+
+def word_vectors(texts: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Words:
+    """The context sums of every token of a one-column table."""
+    buckets = max(1, -(-_bytes(texts, texts.columns[0]) // bucket_bytes))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, size = NONE, [], 0
+        for batch in batches:
+            for _, _, data, offsets in _chunks(batch.column(0)):
+                parts.append(contexts(data, offsets))
+                size += len(data)
+                if len(parts) >= 8:
+                    held, parts = merged([held, *parts]), []
+                if size >= block_bytes:
+                    yield _rows(merged([held, *parts]), buckets)
+                    held, parts, size = NONE, [], 0
+        yield _rows(merged([held, *parts]), buckets)
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIM + 1, np.int64)
+        for batch in batches:
+            for n, part in zip(batch.column(0), batch.column(1), strict=True):
+                total += np.r_[unpack(part.as_py()).reshape(-1, DIM).sum(axis=0), unpack(n.as_py()).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    table = cut(texts.mapInArrow(add, SUMS).groupBy("bucket").applyInArrow(_total, SUMS))
+    total = np.zeros(DIM + 1, np.int64)
+    for row in table.select("counts", "sums").mapInArrow(all_of, "total binary").collect():  # 65 numbers a task
+        total += np.frombuffer(row.total, np.int64)
+    return Words(table, buckets, total[:DIM] / max(1, total[DIM]))
+
+
+def unit(counts: np.ndarray, sums: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Word vectors from context sums."""
+    vectors = sums - counts[:, None] * usual
+    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def _answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """The totals of one bucket for each block's keys in it; zeros for tokens that it doesn't have."""
+    keys, counts, sums = NONE
+    if len(table):
+        keys, counts, sums = unpack_keys(table.column("keys")[0].as_py()), unpack(table.column("counts")[0].as_py()), unpack(table.column("sums")[0].as_py()).reshape(-1, DIM)
+    out: tuple[list[bytes], list[bytes]] = ([], [])
+    for raw in asked.column("keys"):
+        own = unpack_keys(raw.as_py())
+        n, part = np.zeros(len(own), np.int64), np.zeros((len(own), DIM), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            found = keys[at] == own
+            n[found], part[found] = counts[at[found]], sums[at[found]]
+        out[0].append(pack(n))
+        out[1].append(pack(part))
+    columns = [asked.column("block"), asked.column("bucket"), *(pa.array(x, pa.binary()) for x in out)]
+    return pa.table(columns, ["block", "bucket", "counts", "sums"])
+
+
+def distinct_tokens(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.unique(np.concatenate([NONE[0], *(np.unique(token_keys(d, o)[0]) for _, _, d, o in _chunks(column))]))
+
+
+def with_vectors(rows: DataFrame, text_col: str, words: Words, then: Callable[[pa.Table, np.ndarray], pa.Table], schema: object, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What ``then`` makes of blocks of ``rows`` and their texts' features.
+
+    A block's memory is bounded by ``block_bytes`` and the longest text.
+    """
+    small_batches(rows.sparkSession)
+    blocks = max(1, -(-_bytes(rows, text_col) // block_bytes))
+    buckets, usual = words.buckets, words.usual
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        keys = distinct_tokens(table.column(text_col))
+        at = bucket_bounds(keys, buckets)
+        full = np.flatnonzero(at[1:] > at[:-1])
+        own = pa.array([pack_keys(keys[at[b] : at[b + 1]]) for b in full], pa.binary())
+        return pa.table([pa.array([key[0].as_py()] * len(full), pa.int64()), pa.array(full, pa.int64()), own], ["block", "bucket", "keys"])
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, at = distinct_tokens(left.column(text_col)), 0
+        vectors = np.zeros((len(keys), DIM), np.float32)
+        if len(right):
+            right = right.sort_by("bucket")
+            for n, part in zip(right.column("counts"), right.column("sums"), strict=True):
+                own = unit(unpack(n.as_py()), unpack(part.as_py()).reshape(-1, DIM), usual)
+                vectors[at : at + len(own)] = own
+                at += len(own)
+        if at != len(keys):
+            raise AssertionError("a block's answers don't fit its tokens")
+        parts = [pooled(d, o, keys, vectors) for _, _, d, o in _chunks(left.column(text_col))]
+        return then(left.drop_columns("__block"), np.concatenate([np.zeros((0, 2 * DIM + 1), np.float32), *parts]))
+
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*hashed), F.lit(blocks)))
+    asked = dealt.groupBy("__block").applyInArrow(ask, "block long, bucket long, keys binary")
+    answers = asked.groupBy("bucket").cogroup(words.table.groupBy("bucket")).applyInArrow(_answer, "block long, bucket long, counts binary, sums binary")
+    return dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+
+
+def pooled(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean and standard deviation of the word vectors of each text, and its share of repeats; zeros for no tokens.
+
+    ``keys`` are ascending and have all tokens of the texts, ``vectors`` is theirs.
+    """
+    tokens, docs = token_keys(data, offsets)
     out = np.zeros((len(offsets) - 1, 2 * DIM + 1), np.float32)
-    if len(rows):
+    if len(tokens):
         starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        n = np.diff(np.r_[starts, len(rows)]).astype(np.float32)[:, None]
-        own = vectors[rows]
+        n = np.diff(np.r_[starts, len(tokens)]).astype(np.float32)[:, None]
+        distinct, at = np.unique(tokens, return_inverse=True)
+        own = vectors[np.searchsorted(keys, distinct)][at]
         mean = np.add.reduceat(own, starts, axis=0) / n
         np.multiply(own, own, out=own)
         out[docs[starts], :DIM] = mean
         out[docs[starts], DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(own, starts, axis=0) / n - mean**2, 0))
-        out[docs[starts], -1] = np.add.reduceat((rows == REPEAT).astype(np.float32), starts) / n[:, 0]
+        out[docs[starts], -1] = np.add.reduceat((tokens == REPEAT).astype(np.float32), starts) / n[:, 0]
     return out
 
 
@@ -143,63 +327,42 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_rows: int = 20_000) -> tuple[np.ndarray, Network]:
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_rows: int = 20_000) -> tuple[Words, Network]:
     """Word vectors of all texts of ``docs``, and a network fitted to at most ``max_rows`` rows of ``labels``.
 
     ``labels`` has doc_id and ``label_col``; the rows are those with the smallest hashes of doc_id.  Null ids and labels
     don't count, repeated ones count with their mean.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = word_vectors(texts.select("text"))
-    shared = spark.sparkContext.broadcast(vectors)
+    words = word_vectors(texts.select("text"))
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = texts.join(F.broadcast(own), "doc_id")  # max_rows rows of two numbers
+    rows = cut(texts.join(F.broadcast(own), "doc_id").select("doc_id", "label", "text"))  # max_rows rows of two numbers
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            for i, j in row_chunks(offsets, 1 << 19):
-                x = pooled(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"]
-                )
-
-    found = rows.select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label double, x binary").toArrow()
+    def features(table: pa.Table, x: np.ndarray) -> pa.Table:
+        return pa.table([table.column("doc_id"), table.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+
+    found = with_vectors(rows, "text", words, features, "doc_id long, label double, x binary").toArrow()
     ids = found.column("doc_id").to_numpy()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIM + 1).astype(float)
     order = np.lexsort((x[:, 0], mix(ids.astype(np.uint64)))) if len(ids) else np.zeros(0, np.int64)
-    return vectors, train(x[order], (found.column("label").to_numpy()[order] >= 0.5).astype(float))
+    return words, train(x[order], (found.column("label").to_numpy()[order] >= 0.5).astype(float))
 
 
-def with_score(docs: DataFrame, model: tuple[np.ndarray, Network], *, text_col: str = "text", score_col: str = "score", keep_from: float | None = None) -> DataFrame:
+def with_score(docs: DataFrame, model: tuple[Words, Network], *, text_col: str = "text", score_col: str = "score", keep_from: float | None = None) -> DataFrame:
     """``docs`` with ``score_col``, the probability of label 1; or, with ``keep_from``, the rows that score as much, unchanged.
 
-    Null and empty texts have the score of no tokens.  Other columns pass through; a clashing ``score_col`` is replaced.  The
-    table of word vectors that tasks share has a fixed size of 4 MB.
+    Null and empty texts have the score of no tokens, and tokens that the model hasn't seen a vector of zeros.  Other
+    columns pass through; a clashing ``score_col`` is replaced.  Only the network goes to all tasks.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    words, net = model
     own = docs if keep_from is not None else docs.drop(score_col)
-    schema, at = own.schema, own.columns.index(text_col)
-    if keep_from is None:
-        schema = own.withColumn(score_col, F.lit(0.0)).schema
+    schema = own.schema if keep_from is not None else own.withColumn(score_col, F.lit(0.0)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net = shared.value
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(at))
-            scores = [np.zeros(0)]
-            for i, j in row_chunks(offsets, 1 << 19):
-                scores.append(net.score(pooled(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vectors).astype(float)))
-            score = np.concatenate(scores)
-            if keep_from is None:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, score_col])
-            else:
-                yield batch.filter(pa.array(score >= keep_from))
-
-    return own.mapInArrow(run, schema)
+    def run(table: pa.Table, x: np.ndarray) -> pa.Table:
+        score = pa.array(net.score(x.astype(float)))
+        return table.append_column(score_col, score) if keep_from is None else table.filter(pc.greater_equal(score, keep_from))
+
+    return with_vectors(own, text_col, words, run, schema)

@@ -281,6 +281,41 @@ def test_quality(spark):
     assert quality.with_score(docs.limit(2), nothing).count() == 2
 
 
+def test_quality_has_a_vector_for_every_token(spark):
+    """Word vectors against brute force, with more tokens than any fixed table of 2**14 rows could keep apart."""
+    import pyarrow as pa
+
+    from skygrid.llm.common import text_buffers
+
+    rng = random.Random(9)
+    texts = [" ".join(f"{'abcdefgh'[rng.randrange(8)]}{''.join(rng.choice('klmnopqrst') for _ in range(5))}" for _ in range(50)) for _ in range(600)] + [None, "", "a b a a , 12"]
+    words = quality.word_vectors(documents(spark, texts).select("text"), block_bytes=20_000, bucket_bytes=30_000)
+    want = collections.defaultdict(lambda: np.zeros(quality.DIM + 1, np.int64))
+    for t in texts:
+        keys, _ = quality.token_keys(*text_buffers(pa.array([t], pa.string())))
+        places, signs = quality.index_vectors(keys)
+        for i, j in itertools.permutations(range(len(keys)), 2):
+            if abs(i - j) <= quality.WINDOW:
+                np.add.at(want[int(keys[i])], places[j], signs[j].astype(np.int64))
+                want[int(keys[i])][-1] += 1
+    rows = words.table.collect()
+    assert len(rows) == words.buckets > 1 and len(want) > 1 << 14
+    got = {}
+    for r in rows:
+        sums = np.c_[quality.unpack(r["sums"]).reshape(-1, quality.DIM), quality.unpack(r["counts"])]
+        got |= dict(zip(quality.unpack_keys(r["keys"]).tolist(), sums))
+    assert set(got) == set(want) and all((got[k] == want[k]).all() for k in want)
+    keep = lambda table, x: pa.table([table.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+    docs = documents(spark, [*texts[-5:], "unseen"])
+    x = {r.doc_id: np.frombuffer(r.x, np.float32) for r in quality.with_vectors(docs.select("doc_id", "text"), "text", words, keep, "doc_id long, x binary", block_bytes=500).collect()}
+    for i, t in enumerate(texts[-5:]):
+        keys, _ = quality.token_keys(*text_buffers(pa.array([t], pa.string())))
+        v = np.array([want[int(k)][:-1] - want[int(k)][-1] * words.usual for k in keys]).reshape(-1, quality.DIM)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        assert x[i][: quality.DIM] == pytest.approx(v.mean(axis=0) if len(v) else np.zeros(quality.DIM), abs=1e-5)
+    assert not x[5].any()
+
+
 @pytest.mark.parametrize("block_bytes", [lm_score.BLOCK_BYTES, 64, 3000])
 def test_lm_score(spark, block_bytes):
     rng = random.Random(5)
