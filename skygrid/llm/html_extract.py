@@ -246,42 +246,53 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
-    """(host, hash): subtrees on at least ``min_pages`` different pages of a host, and ``min_share`` of its different pages.
-
-    ``pages`` has url and html.  Pages of one host with the same body count once, so copies of a page are no template.
-    """
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """(host, a, b, hash, body): each different subtree of each page of ``pages`` (host, html, a, b), and the hash of its body."""
     small_batches(pages.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, bodies = [], [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, hashes, bodies = [], [], []
+            for k, page in enumerate(batch.column(1).to_pylist()):
                 found = subtree_hashes(parse(page or ""))
                 body = found.pop(0)
-                for h in {0, *found.values()}:  # 0 stands for the page itself
-                    hosts.append(host)
-                    hashes.append(h)
-                    bodies.append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.int64())], ["host", "hash", "body"])
+                own = set(found.values())
+                rows += [k] * len(own)
+                hashes += own
+                bodies += [body] * len(own)
+            at = pa.array(rows, pa.int64())
+            columns = [batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(hashes, pa.int64()), pa.array(bodies, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "a", "b", "hash", "body"])
+
+    return pages.select("host", "html", "a", "b").mapInArrow(run, "host string, a long, b long, hash long, body long")
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host and html of ``pages``, and a 128-bit hash (a, b) of html."""
+    own = pages.select(F.col("page_id"), F.col("url"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    return own.withColumns({"a": F.xxhash64("html"), "b": F.xxhash64(F.lit(1), "html")})
+
 
-    own = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    seen = own.mapInArrow(run, "host string, hash long, body long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    totals = seen.where("hash = 0").select("host", F.col("n").alias("n_pages"))
-    often = seen.where(F.col("hash") != 0).where(F.col("n") >= min_pages)
-    return often.join(totals, "host").where(F.col("n") >= F.col("n_pages") * min_share).select("host", "hash")
+def site_templates(pages: DataFrame, *, min_pages: int = 5) -> DataFrame:
+    """(host, hash): subtrees on at least ``min_pages`` different pages of a host, however many it has.
 
+    ``pages`` has page_id, url and html.  Pages of one host with the same body count once, so copies of a page are no template.
+    """
+    seen = _subtrees(_keyed(pages)).select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    return seen.where(F.col("n") >= min_pages).select("host", "hash")
 
-def extract(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.05, max_shared: int = 100_000) -> DataFrame:
+
+def extract(pages: DataFrame, *, min_pages: int = 5, max_shared: int = 100_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
     Null or empty html gives an empty text, a null url belongs to the host without a name.  Rows that repeat an id are taken each
     for itself; other columns are not looked at.  Templates go to all tasks while they are at most ``max_shared`` hashes;
-    beyond that pages are joined with those of their host.
+    beyond that subtrees are joined with them, and pages with those of their own subtrees that are template.
     """
     spark = pages.sparkSession
-    templates = site_templates(pages, min_pages=min_pages, min_share=min_share)
-    own = pages.select(F.col("page_id"), F.col("url"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    templates = site_templates(pages, min_pages=min_pages)
+    keyed = _keyed(pages)
+    own = keyed.drop("a", "b")
     rows = templates.limit(max_shared + 1).collect()
     by_host: dict[str, set[int]] | None = None
     if len(rows) <= max_shared:
@@ -292,8 +303,9 @@ def extract(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.05, ma
     else:
         from skygrid.llm.common import cut
 
-        lists = cut(templates).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
-        own = own.join(lists, "host", "left").select("page_id", "url", "host", "html", "hashes")
+        found = _subtrees(keyed).join(cut(templates), ["host", "hash"])
+        lists = found.groupBy("host", "a", "b").agg(F.collect_set("hash").alias("hashes"))
+        own = keyed.join(lists, ["host", "a", "b"], "left").select("page_id", "url", "host", "html", "hashes")
     small_batches(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -380,6 +380,18 @@ def test_html(spark):
     assert {r.page_id: r.text for r in joined.collect()} == {i: r.text for i, r in got.items()}
 
 
+def test_html_templates_of_large_hosts(spark):
+    """A block on five different pages is template whatever the size of its host; one on four, and copies of a page, are not."""
+    page = lambda i, box: f"<body><div><p>{box}</p></div><p>Page {i}</p></body>"
+    rows = [(i, "http://h/", page(i, "Often" if i < 5 else "Seldom" if i < 9 else f"Own {i}")) for i in range(300)]
+    rows += [(300 + k, "http://h/", page(300, "Copy")) for k in range(9)] + [(400 + i, "http://g/", page(i, "Often")) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Page {i}" if i < 5 else f"Seldom\n\nPage {i}" if i < 9 else f"Own {i}\n\nPage {i}" for i in range(300)}
+    want |= {300 + k: "Copy\n\nPage 300" for k in range(9)} | {400 + i: f"Often\n\nPage {i}" for i in range(4)}
+    for most in (100_000, 0):
+        assert {r.page_id: r.text for r in html_extract.extract(pages, max_shared=most).collect()} == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)
     texts = near_texts()[:40] + [" ".join(rng.choice(["buy", "now"]) + "!!" for _ in range(40)) for _ in range(20)] + [None, ""]
