@@ -392,6 +392,14 @@ def test_html_templates_of_large_hosts(spark):
         assert {r.page_id: r.text for r in html_extract.extract(pages, max_shared=most).collect()} == want
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_html_of_long_attributes(quote):
+    for n in (10, 5000, 300_000):
+        value = "x" * n + " 1>0 <script> tail"
+        assert html_extract.main_text(f"<div data-x={quote}{value}{quote}>Body</div><p>end</p>") == "Body\n\nend"
+    assert html_extract.main_text(f"<p>a</p><div title={quote}{'x' * 5000}>b</div><p>c</p>") == "a\n\nb\n\nc"
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)
     texts = near_texts()[:40] + [" ".join(rng.choice(["buy", "now"]) + "!!" for _ in range(40)) for _ in range(20)] + [None, ""]
