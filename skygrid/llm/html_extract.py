@@ -3,7 +3,7 @@
 A page is parsed into a tree.  The subtree of each container is hashed, tags and text, and counted per host over the pages
 that differ in their body; a subtree that recurs on many pages of its host is part of the site's template and goes.  What
 pages state about themselves goes as well: navigation, headers, footers, asides, forms and scripts by their element or
-role, notices, adverts, comments and the like by class or id.  The text comes from the article or main element if there is one,
+role, notices, adverts, comments and the like by class or id, but for wrappers of the page's content.  The text comes from the article or main element if there is one,
 otherwise from the body.
 """
 
@@ -38,6 +38,8 @@ MARKS = COMMENTS | frozenset(
     "shares social related recommended recommendations sidebar sidebars menu menus nav navbar navigation navigator breadcrumb breadcrumbs footer footers "
     "header masthead topbar toolbar widget widgets pagination pager copyright disclaimer login search skip".split()
 )
+#: First words of a class that states what an element has or lacks, not what it is: has-sidebar, no-header.
+STATES = frozenset("has have no not with without".split())
 #: What an opening tag closes before it opens: tag -> (tags closed, tags that stop the search).
 _LIST, _CELL = frozenset(("ul", "ol", "menu")), frozenset(("table",))
 CLOSES = {
@@ -57,36 +59,89 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    """An element: tag, whether it goes by its own marks, and children, nodes or texts."""
+    """An element: tag, whether it goes by its own marks and only by a class or id, and children, nodes or texts."""
 
-    __slots__ = ("tag", "gone", "aside", "children")
+    __slots__ = ("tag", "gone", "aside", "classed", "children")
 
-    def __init__(self, tag: str, gone: bool = False, aside: bool = False) -> None:
-        self.tag, self.gone, self.aside, self.children = tag, gone, aside, []
+    def __init__(self, tag: str, gone: bool = False, aside: bool = False, classed: bool = False) -> None:
+        self.tag, self.gone, self.aside, self.classed, self.children = tag, gone, aside, classed, []
 
 
-def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element goes by its attributes, and whether it is a reader comment."""
-    gone = aside = False
+def _marked(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element goes by its attributes, whether it is a reader comment, and whether only class or id say so."""
+    gone = aside = classed = False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = {w for part in value.split() for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", part).lower())}
+            parts = (_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", part).lower()) for part in value.split())
+            words = {w for part in parts if part[0] not in STATES for w in part}
             aside |= not COMMENTS.isdisjoint(words)
-            gone |= not MARKS.isdisjoint(words)
+            classed |= not MARKS.isdisjoint(words)
         elif name == "role":
             gone |= value.lower() in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             gone = True
         elif name == "style":
             gone |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
-    return gone, aside
+    return gone or classed, aside, classed and not gone
+
+
+def _keep_wrappers(root: Node) -> None:
+    """Let elements that go by class or id alone stay where they hold the page's content.
+
+    An element stays that holds main.  While neither main, article nor half of the page's text stands outside such elements, one
+    with more than half of the text stays, after it those that hold an article; reader comments don't.  What stays has its own
+    parts judged in turn.
+    """
+    # For each node: main elements, articles and characters of text in it; main elements and articles, and characters, in no such element inside it.
+    facts: dict[int, tuple[int, int, int, int, int]] = {}
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and (not c.gone or c.classed)]
+    for node in reversed(order):
+        mains, articles, chars, content, free = int(node.tag == "main"), int(node.tag == "article"), 0, int(node.tag in ("main", "article")), 0
+        for c in node.children:
+            if isinstance(c, str):
+                n = len("".join(c.split()))
+                chars, free = chars + n, free + n
+            elif id(c) in facts:
+                m, a, n, o, f = facts[id(c)]
+                mains, articles, chars = mains + m, articles + a, chars + n
+                if not c.gone:
+                    content, free = content + o, free + f
+        facts[id(node)] = mains, articles, chars, content, free
+
+    def within(node: Node) -> list[Node]:
+        found, todo = [], [c for c in node.children if isinstance(c, Node)]
+        while todo:
+            c = todo.pop()
+            if c.gone and c.classed:
+                found.append(c)
+            elif not c.gone:
+                todo += [x for x in c.children if isinstance(x, Node)]
+        return found
+
+    _, _, total, content, free = facts[id(root)]
+    open_ = within(root)
+    while open_:
+        stay = [x for x in open_ if facts[id(x)][0]]
+        if not stay and not content and 2 * free <= total:
+            stay = [x for x in open_ if not x.aside and 2 * facts[id(x)][2] > total] or [x for x in open_ if not x.aside and facts[id(x)][1]]
+        if not stay:
+            return
+        for x in stay:
+            x.gone = False
+            content, free = content + facts[id(x)][3], free + facts[id(x)][4]
+        kept = {id(x) for x in stay}
+        open_ = [x for x in open_ if id(x) not in kept] + [y for x in stay for y in within(x)]
 
 
 def parse(page: str) -> Node:
     """The tree of a page; unclosed, misnested and stray tags are put right roughly as browsers do."""
     root = Node("html")
-    stack, at, n = [root], 0, len(page)
+    stack, at, n, wrappers = [root], 0, len(page), False
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -118,13 +173,15 @@ def parse(page: str) -> Node:
                         break
                 if k < len(stack) and stack[k].tag in stops:
                     break
-        gone, aside = _marked(tag, attrs) if attrs and attrs != "/" else (False, False)
-        node = Node(tag, tag in GONE or (gone and tag not in ("article", "main")), aside)
+        gone, aside, classed = _marked(tag, attrs) if attrs and attrs != "/" else (False, False, False)
+        node = Node(tag, tag in GONE or (gone and tag not in ("article", "main")), aside, classed and tag not in GONE and tag not in ("article", "main"))
         if node.tag == "header" and not gone and any(x.tag == "article" for x in stack):
             node.gone = False
         if node.aside and tag == "article":
             node.gone = True
         stack[-1].children.append(node)
+        if node.classed:
+            wrappers = True
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
@@ -132,6 +189,8 @@ def parse(page: str) -> Node:
             stack.append(node)
         elif tag not in VOID and attrs.endswith("/") and tag in BLOCK:
             stack.append(node)
+    if wrappers:
+        _keep_wrappers(root)
     return root
 
 

@@ -400,6 +400,21 @@ def test_html_of_long_attributes(quote):
     assert html_extract.main_text(f"<p>a</p><div title={quote}{'x' * 5000}>b</div><p>c</p>") == "a\n\nb\n\nc"
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "class='content with-sidebar'", "id=page class='site no-header'", "class='post social-enabled'", "class='search-result-page'", "class='sidebar-left'"])
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+def test_html_wrappers_with_marks(wrapper, tag):
+    """A wrapper of the content stays whatever its class says, its marked parts go."""
+    body = "<h1>Title</h1><p>" + "words of the article " * 9 + "</p>"
+    parts = "<div class='sidebar'><article>Teaser</article></div><div class='share-links'>Share</div><section class=comments><article>Nice</article></section>"
+    page = f"<body><header>Head</header><div {wrapper}><{tag}>{body}</{tag}>{parts}</div><div class='cookie-note'>We</div><footer>f</footer>"
+    inside = html_extract.main_text(page)
+    assert inside == "Title\n\n" + ("words of the article " * 9).strip()
+    beside = f"<body><{tag}>{body}</{tag}>{parts}<div class='related-posts'><article>Other</article></div>"
+    if tag != "div":
+        assert html_extract.main_text(beside) == inside
+    assert html_extract.main_text(f"<body><article>{body}</article><div hidden class=sidebar><main>No</main></div>") == inside
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)
     texts = near_texts()[:40] + [" ".join(rng.choice(["buy", "now"]) + "!!" for _ in range(40)) for _ in range(20)] + [None, ""]
