@@ -71,6 +71,17 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (5, 5, True), (7, 7, True), (7, 7, True)]
 
 
+@pytest.mark.parametrize("likeness", [0.85, 0.8])
+def test_near_duplicate_bounds_miss_less_than_one_in_a_million(likeness):
+    from math import comb
+
+    from skygrid.llm import near_dedup
+
+    for size, bits, far in ((near_dedup.SIZE, 16, near_dedup.FAR), (near_dedup.WIDE, 8, near_dedup.FAR_WIDE)):
+        p = (1 - likeness) * (1 - 2.0**-bits)
+        assert sum(comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(far[likeness] + 1, size + 1)) < 1e-6
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
