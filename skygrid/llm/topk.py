@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, CLIP = 16, float(1 << 40)
+CELLS = 16
+#: The least and the greatest long that are doubles.
+LEAST, MOST = -float(1 << 63), float((1 << 63) - 1024)
 STEP = 64
 
 
 def as_integers(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component x as double; those beyond 2**40 either way count as that."""
-    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(CLIP)), F.lit(-CLIP))))
+    """floor(scale * x) of each component x as double; those beyond the range of a long count as its ends."""
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(MOST)), F.lit(LEAST))))
 
 
 def usable(vector: Column) -> Column:
@@ -37,9 +39,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _exact(x: np.ndarray, y: np.ndarray, big: bool) -> np.ndarray:
-    if not big:
-        return x @ y
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in x.astype(object) @ y.astype(object)], np.int64)
 
 
@@ -50,7 +50,16 @@ def va_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, y: np.ndarr
         return out
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    big = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, x.shape[1]) >= float(1 << 52)
+    big = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(y.astype(float)).max(initial=0)) * max(1, x.shape[1]) >= float(1 << 52)
+    if big:  # such sums aren't exact in floating point, so no bound is
+        for query_id, query in zip(query_ids, y, strict=True):
+            near = np.flatnonzero(ids != query_id)
+            scores = _exact(x[near], query)
+            best = np.lexsort((ids[near], ~scores))[:k]
+            out[0].extend([query_id] * len(best))
+            out[1].extend(ids[near[best]].tolist())
+            out[2].extend(scores[best].tolist())
+        return out
     low, high = x.min(axis=0), x.max(axis=0)
     width = np.maximum(1, -(-(high - low + 1) // CELLS))
     cell = ((x - low) // width).astype(np.uint8)
@@ -67,19 +76,16 @@ def va_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, y: np.ndarr
             n = int((~own).sum())
             if not n:
                 continue
-            if big:  # such sums aren't exact in floating point, so no bound is
-                near = np.flatnonzero(~own)
-            else:
-                kth = np.partition(down, len(down) - k)[len(down) - k] if n > k else -np.inf
-                near = np.flatnonzero((up >= kth) & ~own)
+            kth = np.partition(down, len(down) - k)[len(down) - k] if n > k else -np.inf
+            near = np.flatnonzero((up >= kth) & ~own)
             near = near[np.argsort(-up[near], kind="stable")]
             scores, seen = np.zeros(0, np.int64), 0
             while seen < len(near):
-                if len(scores) >= k and not big and up[near[seen]] < np.partition(scores, len(scores) - k)[len(scores) - k]:
+                if len(scores) >= k and up[near[seen]] < np.partition(scores, len(scores) - k)[len(scores) - k]:
                     break
-                scores = np.concatenate([scores, _exact(x[near[seen : seen + STEP]], query, big)])
+                scores = np.concatenate([scores, x[near[seen : seen + STEP]] @ query])
                 seen = len(scores)
-            best = np.lexsort((ids[near[:seen]], -scores.astype(float) if big else -scores))[:k]
+            best = np.lexsort((ids[near[:seen]], -scores))[:k]
             out[0].extend([query_ids[first + q]] * len(best))
             out[1].extend(ids[near[best]].tolist())
             out[2].extend(scores[best].tolist())

@@ -191,6 +191,15 @@ def test_top_k(spark):
     assert exact_top_k(big.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 1.0]), (1, [2e9, 0.0]), (2, [3e9, 0.0]), (3, [-4e12, 1.0]), (4, [4e12, 1.0]), (5, [4e12, 1.0009765625]), (6, [1e300, 0.0]), (7, [-1e300, 0.0])]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=10).collect()
+    ints = {i: [max(-(1 << 63), min((1 << 63) - 1024, int(np.floor(x * 1024)))) for x in v] for i, v in rows}
+    score = {i: max(-(1 << 63), min((1 << 63) - 1, 1024 * sum(v))) for i, v in ints.items() if i}
+    want = sorted(score, key=lambda i: (-score[i], i))
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, score[i]) for i in want]
+
+
 def test_fingerprints(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
