@@ -18,10 +18,12 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset and one machine runs all."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not told:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = tempfile.mkdtemp(prefix="skygrid-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(told)
@@ -45,6 +47,16 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def free_names(taken: list[str], n: int) -> list[str]:
+    """Names of private columns that no column of ``taken`` has, whatever case is told apart."""
+    used, out, k = {c.lower() for c in taken}, [], 0
+    while len(out) < n:
+        if f"__p{k}" not in used:
+            out.append(f"__p{k}")
+        k += 1
+    return out
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32(doc_id as text) mod 4 is 2; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -84,25 +96,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values(fold: bool) -> np.ndarray:
-    b = np.arange(256, dtype=np.uint64)
-    if fold:
-        b = np.where((b >= 65) & (b <= 90), b + np.uint64(32), b).astype(np.uint64)
-    return mix(b * GOLDEN + np.uint64(12345))
-
-
-VALUES = {False: _byte_values(False), True: _byte_values(True)}
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """1, P, P**2 ... modulo 2**64; at least n of them."""
-    global _powers
-    if len(_powers) < n:
-        step = np.full(max(n, 256), np.uint64(0xD6E8FEB86659FD93))
-        step[0] = 1
-        _powers = np.multiply.accumulate(step)
-    return _powers
+#: Bytes as they count with folding: A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+#: The bytes of a word of eight that belong to a run of 0 to 7 bytes.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+_SHORT = mix(np.arange(1, 65, dtype=np.uint64) * GOLDEN)
 
 
 def byte_classes(*classes: bytes | range) -> np.ndarray:
@@ -141,13 +140,35 @@ def kind_runs(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each run's bytes; with ``fold`` A-Z count as a-z."""
+    """A 64-bit hash of each run's bytes; with ``fold`` A-Z count as a-z.
+
+    A run is read in words of eight bytes.  Each goes with its place through a permutation before they are added, so
+    no arithmetic structure of the bytes carries over to the sum; runs of up to eight bytes never collide among their length.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    if fold:
+        np.take(FOLDED, data, out=padded[: len(data)])
+    else:
+        padded[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the word that begins at each byte
     lengths = ends - starts
-    first = np.zeros(len(starts), np.int64)
-    np.cumsum(lengths[:-1], out=first[1:])
-    within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    places = within + np.repeat(starts, lengths)
-    terms = VALUES[fold][data[places]] * powers(int(lengths.max()))[within]
-    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * GOLDEN)
+    last = np.maximum(lengths - 1, 0) >> 3
+    tail = words[starts + 8 * last]
+    short = lengths - 8 * last < 8
+    tail[short] &= _MASKS[(lengths - 8 * last)[short]]
+    out = mix(tail ^ place_keys(int(last.max()) + 1)[last])
+    long = np.flatnonzero(last)
+    if len(long):
+        n = last[long]
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        terms = mix(words[np.repeat(starts[long], n) + 8 * k] ^ place_keys(int(n.max()))[k])
+        out[long] += np.add.reduceat(terms, first)
+    return mix(out + lengths.astype(np.uint64) * GOLDEN)
+
+
+def place_keys(n: int) -> np.ndarray:
+    """A pseudo-random number for each place; at least n of them."""
+    return _SHORT if n <= len(_SHORT) else mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN)
