@@ -1,11 +1,13 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
-Every token has a fixed sparse ternary index vector.  A token's word vector is the sum of the index vectors of its
-neighbours over all documents, less what its frequency alone would give, at unit length (Kanerva et al., 2000).  Every
-token has a vector of its own, known by a 64-bit hash: the sums are whole numbers in a distributed table that grows with the
-vocabulary, cut by key range into buckets.  Documents to score are dealt into blocks of bounded bytes, which ask buckets
-for their distinct tokens.  A document is the mean and the spread of its tokens' vectors.  The network is trained in
-numpy; a temperature fitted on rows that it didn't train on calibrates its probabilities.
+Every token has a fixed sparse ternary index vector.  A token's context vector is the sum of the index vectors of its
+neighbours over all documents, less what the frequencies of tokens alone would give (Kanerva et al., 2000); its word vector is
+that sum's signs, one bit a component.  Every token of the corpus has a vector of its own, known by a 64-bit hash: sums and vectors
+lie in a distributed table that grows with the vocabulary, cut by key range into buckets.
+
+Texts to score are never moved.  Tasks turn them into blocks of bounded bytes, a bag of token numbers for each document and the
+block's distinct tokens; blocks ask buckets for the vectors of their tokens.  A document is the mean of its tokens' vectors.  The
+network is trained in numpy; a temperature fitted on rows that it didn't train on calibrates its probabilities.
 """
 
 from __future__ import annotations
@@ -15,18 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygrid.llm.common import GOLDEN, cut, kind_runs, mix, row_chunks, run_hashes, small_batches, text_buffers
+from skygrid.llm.common import GOLDEN, cut, free_names, kind_runs, mix, row_chunks, run_hashes, small_batches, text_buffers
 from skygrid.llm.lm_score import bucket_bounds
 from skygrid.llm.tokens import _KINDS
 
-DIM, NONZERO, WINDOW = 64, 4, 2
+DIM, NONZERO, WINDOW = 64, 2, 2
 REPEAT = np.uint64(0)
 #: Bytes of text that a block holds, but for the last text in it, and for which there is a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 32 << 20
 SUMS = "bucket long, keys binary, counts binary, sums binary"
 
 
@@ -66,7 +68,8 @@ def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def token_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit key and document of each token: a run of letters, digits or punctuation.
 
-    A token equal to the one before, or to the one before that, is the token "repeat".
+    A word equal to the token before, or to the one before that, is the token "repeat": a bag wouldn't tell a stuttering
+    text from one that uses the same words, and the token has a word vector like any other.
     """
     starts, ends, docs = kind_runs(_KINDS[data], offsets)
     h = run_hashes(data, starts, ends, fold=False)
@@ -125,8 +128,8 @@ def _rows(table: Sums, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "keys", "counts", "sums"])
 
 
-def _total(table: pa.Table) -> pa.Table:
-    """One row of a bucket's totals from what tasks counted, a row at a time."""
+def _total(table: pa.Table) -> Sums:
+    """A bucket's totals from what tasks counted, a row at a time."""
     columns = [table.column(c) for c in ("keys", "counts", "sums")]
     keys = np.zeros(0, np.uint64)
     for raw in columns[0]:
@@ -136,26 +139,45 @@ def _total(table: pa.Table) -> pa.Table:
         at = np.searchsorted(keys, unpack_keys(k.as_py()))
         counts[at] += unpack(n.as_py())
         sums[at] += unpack(part.as_py()).reshape(-1, DIM)
-    row = [pa.array([x], pa.binary()) for x in (pack_keys(keys), pack(counts), pack(sums))]
-    return pa.table([table.column("bucket").slice(0, 1), *row], ["bucket", "keys", "counts", "sums"])
+    return keys, counts, sums
+
+
+def signs(counts: np.ndarray, sums: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Word vectors from context sums, a bit for each component: whether it is above what ``usual`` neighbours would give."""
+    return np.packbits(sums > counts[:, None] * usual, axis=1, bitorder="little").view("<u8").ravel()
 
 
 @dataclass
 class Words:
-    """A row of ``SUMS`` for each bucket of tokens, the number of buckets, and the sum of all vectors over the count of all."""
+    """A row (bucket, keys, vectors) for each bucket of tokens, and the number of buckets."""
 
     table: DataFrame
     buckets: int
-    usual: np.ndarray
 
 
-def _bytes(texts: DataFrame, text_col: str) -> int:
-    return texts.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+def _usual(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Bytes of a one-column table of texts, and the mean index vector of its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total = 0, np.zeros(DIM + 1)
+        for batch in batches:
+            for _, _, data, offsets in _chunks(batch.column(0)):
+                keys, n = np.unique(token_keys(data, offsets)[0], return_counts=True)
+                places, weights = index_vectors(keys)
+                total += np.r_[np.bincount(places.ravel(), (weights * n[:, None]).ravel(), minlength=DIM), n.sum()]
+                size += len(data)
+        yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["size", "total"])
+
+    size, total = 0, np.zeros(DIM + 1, np.int64)
+    for row in texts.mapInArrow(run, "size long, total binary").collect():  # 66 numbers a task
+        size, total = size + row["size"], total + np.frombuffer(row["total"], np.int64)
+    return size, total[:DIM] / max(1, total[DIM])
 
 
 def word_vectors(texts: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Words:
-    """The context sums of every token of a one-column table."""
-    buckets = max(1, -(-_bytes(texts, texts.columns[0]) // bucket_bytes))
+    """The word vector of every token of a one-column table."""
+    size, usual = _usual(texts)
+    buckets = max(1, -(-size // bucket_bytes))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, size = NONE, [], 0
@@ -170,104 +192,163 @@ def word_vectors(texts: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_byt
                     held, parts, size = NONE, [], 0
         yield _rows(merged([held, *parts]), buckets)
 
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DIM + 1, np.int64)
-        for batch in batches:
-            for n, part in zip(batch.column(0), batch.column(1), strict=True):
-                total += np.r_[unpack(part.as_py()).reshape(-1, DIM).sum(axis=0), unpack(n.as_py()).sum()]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
-
-    table = cut(texts.mapInArrow(add, SUMS).groupBy("bucket").applyInArrow(_total, SUMS))
-    total = np.zeros(DIM + 1, np.int64)
-    for row in table.select("counts", "sums").mapInArrow(all_of, "total binary").collect():  # 65 numbers a task
-        total += np.frombuffer(row.total, np.int64)
-    return Words(table, buckets, total[:DIM] / max(1, total[DIM]))
-
+    def finish(table: pa.Table) -> pa.Table:
+        keys, counts, sums = _total(table)
+        row = [pa.array([x], pa.binary()) for x in (pack_keys(keys), signs(counts, sums, usual).tobytes())]
+        return pa.table([table.column("bucket").slice(0, 1), *row], ["bucket", "keys", "vectors"])
 
-def unit(counts: np.ndarray, sums: np.ndarray, usual: np.ndarray) -> np.ndarray:
-    """Word vectors from context sums."""
-    vectors = sums - counts[:, None] * usual
-    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    return Words(cut(texts.mapInArrow(add, SUMS).groupBy("bucket").applyInArrow(finish, "bucket long, keys binary, vectors binary")), buckets)
 
 
 def _answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-    """The totals of one bucket for each block's keys in it; zeros for tokens that it doesn't have."""
-    keys, counts, sums = NONE
+    """The vectors of one bucket for each block's keys in it, and which of those keys it doesn't have."""
+    keys, vectors = NONE[0], NONE[0]
     if len(table):
-        keys, counts, sums = unpack_keys(table.column("keys")[0].as_py()), unpack(table.column("counts")[0].as_py()), unpack(table.column("sums")[0].as_py()).reshape(-1, DIM)
+        keys, vectors = unpack_keys(table.column("keys")[0].as_py()), np.frombuffer(table.column("vectors")[0].as_py(), "<u8")
     out: tuple[list[bytes], list[bytes]] = ([], [])
     for raw in asked.column("keys"):
         own = unpack_keys(raw.as_py())
-        n, part = np.zeros(len(own), np.int64), np.zeros((len(own), DIM), np.int64)
+        found, known = np.zeros(len(own), np.uint64), np.zeros(len(own), bool)
         if len(keys):
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            found = keys[at] == own
-            n[found], part[found] = counts[at[found]], sums[at[found]]
-        out[0].append(pack(n))
-        out[1].append(pack(part))
+            known = keys[at] == own
+            found[known] = vectors[at[known]]
+        out[0].append(found.tobytes())
+        out[1].append(pack(np.flatnonzero(~known)))
     columns = [asked.column("block"), asked.column("bucket"), *(pa.array(x, pa.binary()) for x in out)]
-    return pa.table(columns, ["block", "bucket", "counts", "sums"])
+    return pa.table(columns, ["block", "bucket", "vectors", "unknown"])
+
 
+@dataclass
+class Bags:
+    """Documents as bags of numbers of tokens: ``sizes`` entries (place in ``keys``, count) for each."""
+
+    keys: np.ndarray
+    sizes: np.ndarray
+    places: np.ndarray
+    counts: np.ndarray
+
+
+def bags_of(column: pa.Array | pa.ChunkedArray) -> list[Bags]:
+    """A bag of its tokens for each text, in chunks."""
+    out = []
+    for _, _, data, offsets in _chunks(column):
+        tokens, docs = token_keys(data, offsets)
+        keys, own = np.unique(tokens, return_inverse=True)
+        pairs, counts = np.unique(docs * max(1, len(keys)) + own, return_counts=True)
+        doc, place = np.divmod(pairs, max(1, len(keys)))
+        out.append(Bags(keys, np.bincount(doc, minlength=len(offsets) - 1), place, counts))
+    return out
 
-def distinct_tokens(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.unique(np.concatenate([NONE[0], *(np.unique(token_keys(d, o)[0]) for _, _, d, o in _chunks(column))]))
 
+def joined(parts: list[Bags]) -> Bags:
+    """Bags of several chunks as those of one, frequent tokens first."""
+    keys = np.unique(np.concatenate([NONE[0], *(p.keys for p in parts)]))
+    none = np.zeros(0, np.int64)
+    places = np.concatenate([none, *(np.searchsorted(keys, p.keys)[p.places] for p in parts)])
+    order = np.argsort(-np.bincount(places, minlength=len(keys)), kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    sizes, counts = (np.concatenate([none, *x]) for x in ([p.sizes for p in parts], [p.counts for p in parts]))
+    places, doc = rank[places], np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((places, doc))
+    return Bags(keys[order], sizes, places[by], counts[by])
 
-def with_vectors(rows: DataFrame, text_col: str, words: Words, then: Callable[[pa.Table, np.ndarray], pa.Table], schema: object, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """What ``then`` makes of blocks of ``rows`` and their texts' features.
 
-    A block's memory is bounded by ``block_bytes`` and the longest text.
+def pooled(bags: Bags, vectors: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Mean word vector of each document, -1 to 1 a component; tokens that aren't known count as zeros, no tokens give zeros.
+
+    ``vectors`` and ``known`` are of ``bags.keys``.
+    """
+    bits = np.unpackbits(vectors.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :DIM]
+    values = (2 * bits.astype(np.int8) - 1) * known[:, None].astype(np.int8)
+    out = np.zeros((len(bags.sizes), DIM), np.float32)
+    ends = np.cumsum(bags.sizes)
+    first = 0
+    while first < len(out):
+        begin = int(ends[first] - bags.sizes[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 17), side="right")))
+        full = first + np.flatnonzero(bags.sizes[first:last])
+        if len(full):
+            c = bags.counts[begin : ends[last - 1]].astype(np.float32)
+            at = ends[full] - bags.sizes[full] - begin
+            total = np.add.reduceat(values[bags.places[begin : ends[last - 1]]] * c[:, None], at, axis=0)
+            out[full] = total / np.add.reduceat(c, at)[:, None]
+        first = last
+    return out
+
+
+def features(rows: DataFrame, text_col: str, words: Words, then: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What ``then`` makes of the long columns of ``rows`` other than ``text_col`` and of the texts' mean word vectors, block by block.
+
+    A block's memory is bounded by ``block_bytes`` and the longest text.  Only bags of token numbers go through the shuffle.
     """
     small_batches(rows.sparkSession)
-    blocks = max(1, -(-_bytes(rows, text_col) // block_bytes))
-    buckets, usual = words.buckets, words.usual
+    carried = [c for c in rows.columns if c != text_col]
+    own = rows.select(F.col(text_col).cast("string"), *(F.col(c).cast("long") for c in carried))
+    names = [f"c{k}" for k in range(len(carried))]
+    buckets = words.buckets
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def block() -> pa.RecordBatch:
+            bags = joined(parts)
+            first = np.cumsum(bags.sizes) - bags.sizes
+            gaps = np.diff(bags.places, prepend=0)
+            full = first[bags.sizes > 0]
+            gaps[full] = bags.places[full]
+            packed = [bags.keys.tobytes(), *(pack(x) for x in (bags.sizes, gaps, bags.counts))]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(bags.sizes)], pa.int32()), pa.concat_arrays([h[k] for h in held])) for k in range(len(carried))]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), *columns], ["block", "keys", "sizes", "gaps", "counts", *names])
 
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys = distinct_tokens(table.column(text_col))
+        for batch in batches:
+            held.append(batch.columns[1:])
+            parts += bags_of(batch.column(0))
+            size += batch.column(0).nbytes
+            if size >= block_bytes:
+                yield block()
+                number, held, parts, size = number + 1, [], [], 0
+        if held:
+            yield block()
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.frombuffer(table.column("keys")[0].as_py(), "<u8"))
         at = bucket_bounds(keys, buckets)
         full = np.flatnonzero(at[1:] > at[:-1])
         own = pa.array([pack_keys(keys[at[b] : at[b + 1]]) for b in full], pa.binary())
-        return pa.table([pa.array([key[0].as_py()] * len(full), pa.int64()), pa.array(full, pa.int64()), own], ["block", "bucket", "keys"])
+        return pa.table([pa.array([table.column("block")[0].as_py()] * len(full), pa.int64()), pa.array(full, pa.int64()), own], ["block", "bucket", "keys"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, at = distinct_tokens(left.column(text_col)), 0
-        vectors = np.zeros((len(keys), DIM), np.float32)
+        row = {c: left.column(c)[0] for c in left.column_names}
+        keys = np.frombuffer(row["keys"].as_py(), "<u8")
+        sizes, gaps, counts = (unpack(row[c].as_py()) for c in ("sizes", "gaps", "counts"))
+        ends = np.cumsum(sizes)
+        places = np.cumsum(gaps)
+        if len(places):
+            before = np.where(sizes > 0, places[np.minimum(ends - sizes, len(places) - 1)] - gaps[np.minimum(ends - sizes, len(places) - 1)], 0)
+            places -= np.repeat(before, sizes)
+        vectors, known, at = np.zeros(len(keys), np.uint64), np.ones(len(keys), bool), 0
         if len(right):
             right = right.sort_by("bucket")
-            for n, part in zip(right.column("counts"), right.column("sums"), strict=True):
-                own = unit(unpack(n.as_py()), unpack(part.as_py()).reshape(-1, DIM), usual)
+            for own, unknown in zip(right.column("vectors"), right.column("unknown"), strict=True):
+                own = np.frombuffer(own.as_py(), "<u8")
                 vectors[at : at + len(own)] = own
+                known[at + unpack(unknown.as_py())] = False
                 at += len(own)
         if at != len(keys):
             raise AssertionError("a block's answers don't fit its tokens")
-        parts = [pooled(d, o, keys, vectors) for _, _, d, o in _chunks(left.column(text_col))]
-        return then(left.drop_columns("__block"), np.concatenate([np.zeros((0, 2 * DIM + 1), np.float32), *parts]))
-
-    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
-    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*hashed), F.lit(blocks)))
-    asked = dealt.groupBy("__block").applyInArrow(ask, "block long, bucket long, keys binary")
-    answers = asked.groupBy("bucket").cogroup(words.table.groupBy("bucket")).applyInArrow(_answer, "block long, bucket long, counts binary, sums binary")
-    return dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
-
+        order = np.argsort(keys)
+        by_place, known_at = np.empty_like(vectors), np.empty_like(known)
+        by_place[order], known_at[order] = vectors, known
+        table = pa.table([row[c].values for c in names], carried)
+        return then(table, pooled(Bags(keys, sizes, places, counts), by_place, known_at))
 
-def pooled(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the word vectors of each text, and its share of repeats; zeros for no tokens.
-
-    ``keys`` are ascending and have all tokens of the texts, ``vectors`` is theirs.
-    """
-    tokens, docs = token_keys(data, offsets)
-    out = np.zeros((len(offsets) - 1, 2 * DIM + 1), np.float32)
-    if len(tokens):
-        starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        n = np.diff(np.r_[starts, len(tokens)]).astype(np.float32)[:, None]
-        distinct, at = np.unique(tokens, return_inverse=True)
-        own = vectors[np.searchsorted(keys, distinct)][at]
-        mean = np.add.reduceat(own, starts, axis=0) / n
-        np.multiply(own, own, out=own)
-        out[docs[starts], :DIM] = mean
-        out[docs[starts], DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(own, starts, axis=0) / n - mean**2, 0))
-        out[docs[starts], -1] = np.add.reduceat((tokens == REPEAT).astype(np.float32), starts) / n[:, 0]
-    return out
+    lists = ", ".join(f"{c} array<long>" for c in names)
+    blocks = own.mapInArrow(deal, f"block long, keys binary, sizes binary, gaps binary, counts binary, {lists}")
+    asked = blocks.groupBy("block").applyInArrow(ask, "block long, bucket long, keys binary")
+    answers = asked.groupBy("bucket").cogroup(words.table.groupBy("bucket")).applyInArrow(_answer, "block long, bucket long, vectors binary, unknown binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
 @dataclass
@@ -339,30 +420,48 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_r
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = cut(texts.join(F.broadcast(own), "doc_id").select("doc_id", "label", "text"))  # max_rows rows of two numbers
+    rows = cut(texts.join(F.broadcast(own), "doc_id").select("doc_id", (F.col("label") >= 0.5).cast("long").alias("label"), "text"))  # max_rows rows of two numbers
 
-    def features(table: pa.Table, x: np.ndarray) -> pa.Table:
-        return pa.table([table.column("doc_id"), table.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+    def keep(table: pa.Table, x: np.ndarray) -> pa.Table:
+        return pa.table([*table.columns, pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    found = with_vectors(rows, "text", words, features, "doc_id long, label double, x binary").toArrow()
+    found = features(rows, "text", words, keep, "doc_id long, label long, x binary").toArrow()
     ids = found.column("doc_id").to_numpy()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIM + 1).astype(float)
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, DIM).astype(float)
     order = np.lexsort((x[:, 0], mix(ids.astype(np.uint64)))) if len(ids) else np.zeros(0, np.int64)
-    return words, train(x[order], (found.column("label").to_numpy()[order] >= 0.5).astype(float))
+    return words, train(x[order], found.column("label").to_numpy()[order].astype(float))
 
 
-def with_score(docs: DataFrame, model: tuple[Words, Network], *, text_col: str = "text", score_col: str = "score", keep_from: float | None = None) -> DataFrame:
-    """``docs`` with ``score_col``, the probability of label 1; or, with ``keep_from``, the rows that score as much, unchanged.
+def scores(rows: DataFrame, model: tuple[Words, Network], *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The long columns of ``rows`` and ``score_col``, the probability of label 1 for the text of each row.
 
-    Null and empty texts have the score of no tokens, and tokens that the model hasn't seen a vector of zeros.  Other
-    columns pass through; a clashing ``score_col`` is replaced.  Only the network goes to all tasks.
+    Null and empty texts have the score of no tokens, and tokens that the model hasn't seen a vector of zeros.  Nulls in the other
+    columns stay, repeated rows are scored each, an empty table gives no rows.  Only the network goes to all tasks.
     """
     words, net = model
-    own = docs if keep_from is not None else docs.drop(score_col)
-    schema = own.schema if keep_from is not None else own.withColumn(score_col, F.lit(0.0)).schema
 
     def run(table: pa.Table, x: np.ndarray) -> pa.Table:
-        score = pa.array(net.score(x.astype(float)))
-        return table.append_column(score_col, score) if keep_from is None else table.filter(pc.greater_equal(score, keep_from))
+        return table.append_column(score_col, pa.array(net.score(x.astype(float))))
+
+    carried = [c for c in rows.columns if c != text_col]
+    return features(rows, text_col, words, run, ", ".join([*(f"`{c}` long" for c in carried), f"`{score_col}` double"]))
+
 
-    return with_vectors(own, text_col, words, run, schema)
+def with_score(docs: DataFrame, model: tuple[Words, Network], *, text_col: str = "text", score_col: str = "score", keep_from: float | None = None) -> DataFrame:
+    """``docs`` with ``score_col``, the probability of label 1; or, with ``keep_from``, the rows that score as much, unchanged.
+
+    A score depends on the text alone, so rows meet theirs by a 128-bit hash of the text.  Null and empty texts have the
+    score of no tokens.  Other columns pass through, whatever their names; a clashing ``score_col`` is replaced.  Repeated rows
+    stay as often as they occur.
+    """
+    lo, hi, found = free_names([*docs.columns, score_col], 3)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashes = [F.xxhash64(text).alias(lo), F.xxhash64(F.lit(1), text).alias(hi)]
+    own = scores(docs.select(*hashes, text.alias(found)), model, text_col=found, score_col=score_col)
+    own = own.groupBy(lo, hi).agg(F.max(score_col).alias(found))
+    if keep_from is not None:
+        own = own.where(F.col(found) >= keep_from)
+    rows = docs.withColumns({lo: hashes[0], hi: hashes[1]}).join(own, [lo, hi])
+    if keep_from is not None:
+        return rows.select(*docs.columns)
+    return rows.select(*(c for c in docs.columns if c != score_col), F.col(found).alias(score_col))

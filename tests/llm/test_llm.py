@@ -128,6 +128,37 @@ def tokenizer():
 ODD = ["It's   we'LL <|endoftext|> x<|startoftext|>y", "́x é　y\x85z ΑΣ", "", None, "a1b2 !!'s —### ÷×", "<|ENDOFTEXT|>", "ab\x00c", "word " * 9000, "x" * 5000]
 
 
+def thue_morse(n=1024):
+    """Two words of n letters that a polynomial modulo a power of two can't tell apart."""
+    x = [0]
+    while len(x) < n:
+        x += [1 - i for i in x]
+    return "".join("ab"[i] for i in x), "".join("ba"[i] for i in x)
+
+
+def test_run_hashes():
+    from skygrid.llm import common
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abAB") for _ in range(n)) for n in range(1, 40) for _ in range(30)] + [*thue_morse(), *thue_morse(64)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = common.runs(data, np.array([0, len(data)]))
+    for fold in (True, False):
+        h = common.run_hashes(data, starts, ends, fold)
+        alone = [common.run_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), fold)[0] for w in words]
+        assert h.tolist() == alone and len(set(alone)) == len({w.lower() if fold else w for w in words})
+
+
+def test_words_that_simple_hashes_confuse(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    t, (a, b) = Tokenizer.from_file(tokenizer), thue_morse()
+    rows = pack_documents(documents(spark, [a, b]).coalesce(1), tokenizer, with_ids=True).orderBy("doc_id", "start").collect()
+    for i, x in enumerate((a, b)):
+        assert sum((r.ids for r in rows if r.doc_id == i), []) == [*t.encode(x, add_special_tokens=False).ids, 2]
+    assert {r.component_id for r in near_duplicates(documents(spark, [a, b]), words=3, percent=85).collect()} == {0, 1}
+
+
 def test_token_ids_are_the_tokenizers(tokenizer):
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -302,7 +333,7 @@ def test_quality(spark):
 
 
 def test_quality_has_a_vector_for_every_token(spark):
-    """Word vectors against brute force, with more tokens than any fixed table of 2**14 rows could keep apart."""
+    """Word vectors and document means against brute force, with more tokens than any fixed table of 2**14 rows could keep apart."""
     import pyarrow as pa
 
     from skygrid.llm.common import text_buffers
@@ -310,30 +341,50 @@ def test_quality_has_a_vector_for_every_token(spark):
     rng = random.Random(9)
     texts = [" ".join(f"{'abcdefgh'[rng.randrange(8)]}{''.join(rng.choice('klmnopqrst') for _ in range(5))}" for _ in range(50)) for _ in range(600)] + [None, "", "a b a a , 12"]
     words = quality.word_vectors(documents(spark, texts).select("text"), block_bytes=20_000, bucket_bytes=30_000)
-    want = collections.defaultdict(lambda: np.zeros(quality.DIM + 1, np.int64))
-    for t in texts:
-        keys, _ = quality.token_keys(*text_buffers(pa.array([t], pa.string())))
+    tokens = [quality.token_keys(*text_buffers(pa.array([t], pa.string())))[0] for t in texts]
+    want, usual = collections.defaultdict(lambda: np.zeros(quality.DIM + 1, np.int64)), np.zeros(quality.DIM)
+    for keys in tokens:
         places, signs = quality.index_vectors(keys)
+        np.add.at(usual, places, signs)
         for i, j in itertools.permutations(range(len(keys)), 2):
             if abs(i - j) <= quality.WINDOW:
                 np.add.at(want[int(keys[i])], places[j], signs[j].astype(np.int64))
                 want[int(keys[i])][-1] += 1
+    usual /= sum(map(len, tokens))
+    vector = {k: np.where(v[:-1] > v[-1] * usual, 1, -1) for k, v in want.items()}
     rows = words.table.collect()
     assert len(rows) == words.buckets > 1 and len(want) > 1 << 14
     got = {}
     for r in rows:
-        sums = np.c_[quality.unpack(r["sums"]).reshape(-1, quality.DIM), quality.unpack(r["counts"])]
-        got |= dict(zip(quality.unpack_keys(r["keys"]).tolist(), sums))
-    assert set(got) == set(want) and all((got[k] == want[k]).all() for k in want)
-    keep = lambda table, x: pa.table([table.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
-    docs = documents(spark, [*texts[-5:], "unseen"])
-    x = {r.doc_id: np.frombuffer(r.x, np.float32) for r in quality.with_vectors(docs.select("doc_id", "text"), "text", words, keep, "doc_id long, x binary", block_bytes=500).collect()}
-    for i, t in enumerate(texts[-5:]):
-        keys, _ = quality.token_keys(*text_buffers(pa.array([t], pa.string())))
-        v = np.array([want[int(k)][:-1] - want[int(k)][-1] * words.usual for k in keys]).reshape(-1, quality.DIM)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        assert x[i][: quality.DIM] == pytest.approx(v.mean(axis=0) if len(v) else np.zeros(quality.DIM), abs=1e-5)
-    assert not x[5].any()
+        bits = np.unpackbits(np.frombuffer(r["vectors"], np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        got |= dict(zip(quality.unpack_keys(r["keys"]).tolist(), 2 * bits.astype(int) - 1))
+    assert set(got) == set(vector) and all((got[k] == vector[k]).all() for k in vector)
+    keep = lambda table, x: pa.table([*table.columns, pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+    own = [*texts[-5:], texts[-1], "unseen"]
+    docs = documents(spark, own, [0, 1, 2, None, 4, 4, 6])
+    rows = quality.features(docs.select("doc_id", "text"), "text", words, keep, "doc_id long, x binary", block_bytes=500).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["0", "1", "2", "4", "4", "6", "None"]
+    for r in rows:
+        i = 3 if r.doc_id is None else r.doc_id
+        keys = quality.token_keys(*text_buffers(pa.array([own[i]], pa.string())))[0]
+        v = np.array([vector.get(int(k), np.zeros(quality.DIM)) for k in keys]).reshape(-1, quality.DIM)
+        assert np.frombuffer(r.x, np.float32) == pytest.approx(v.mean(axis=0) if len(v) else np.zeros(quality.DIM), abs=1e-5)
+
+
+def test_quality_of_repeats_and_clashing_columns(spark):
+    """Rows that repeat keep their number, private columns don't clash, the network's score is what a plain pass gives."""
+    docs = documents(spark, ["a b", "a b", None, "", "c " * 9], [1, 1, None, 3, 3]).withColumn("__p0", F.lit("x")).withColumn("__p1", F.lit(2))
+    model = quality.fit(docs, spark.createDataFrame([(1, 1), (3, 0), (1, 1)], "doc_id long, quality int"))
+    got = quality.with_score(docs, model)
+    assert set(got.columns) == set(docs.columns) and got.count() == 5 and {r["__p0"] for r in got.collect()} == {"x"}
+    assert quality.with_score(docs, model, keep_from=0.0).count() == 5 and quality.scores(docs.select("doc_id", "text").where("false"), model).count() == 0
+    x, rng = np.random.default_rng(0).normal(size=(50, 6)), np.random.default_rng(1)
+    net = quality.train(x, (x[:, 0] > 0).astype(float))
+    for row in x[:5]:
+        z = (row - net.mean) / net.scale
+        h = [np.tanh(sum(z[i] * net.w1[i, j] for i in range(6)) + net.b1[j]) for j in range(len(net.b1))]
+        logit = sum(a * b for a, b in zip(h, net.w2)) + net.b2
+        assert net.score(row[None])[0] == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)))
 
 
 @pytest.mark.parametrize("block_bytes", [lm_score.BLOCK_BYTES, 64, 3000])
