@@ -14,7 +14,7 @@ import corpus_pipeline
 from skygrid.llm import html_extract, language, lm_score, quality
 from skygrid.llm.components import connected
 from skygrid.llm.fingerprint import edited_fingerprints, fingerprints
-from skygrid.llm.line_dedup import dedup_lines
+from skygrid.llm.line_dedup import LineRuns, dedup_lines
 from skygrid.llm.mixing import mix_sources
 from skygrid.llm.near_dedup import near_duplicates
 from skygrid.llm.packing import Limits, pack_conversations, pack_documents
@@ -116,8 +116,33 @@ def test_line_dedup(spark):
         assert (got[i].n_lines, got[i].n_dropped, got[i].text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
         assert got[i].key == "k" and got[i].score == 0.5
     assert dedup_lines(documents(spark, texts).where("false")).count() == 0
-    again = dedup_lines(documents(spark, [line] * 4, [None, 1, 2, 2]), batches=2).collect()
-    assert sorted((r.doc_id or -1, r.text) for r in again) == [(-1, ""), (1, ""), (2, line), (2, line)]
+    again = dedup_lines(documents(spark, [line] * 5, [None, None, 1, 2, 2]), batches=2).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in again) == [(-1, ""), (-1, ""), (1, ""), (2, line), (2, line)]
+    two = dedup_lines(documents(spark, [line] * 5, [None, None, 2, 2, 2])).collect()  # two documents only
+    assert {r.text for r in two} == {line}
+    clash = documents(spark, [line] * 3).withColumn("__p0", F.lit("a")).withColumn("n_lines", F.lit("b"))
+    got = dedup_lines(clash)
+    assert set(got.columns) == {*clash.columns, "n_dropped"} and {r["__p0"] for r in got.collect()} == {"a"}
+    assert dedup_lines(clash, counts=False).columns == clash.columns
+
+
+def test_line_runs(spark):
+    """Every key is fresh once, in the first batch that has it, however runs are compacted."""
+    rng, want = random.Random(4), {}
+    runs = LineRuns(spark, buckets=4, fanout=2)
+    for b in range(7):
+        rows = [(k, -k, rng.randint(1, 3), 100 - 10 * b - rng.randint(0, 9)) for k in rng.sample(range(60), 25)]
+        for k, _, n, top in rows:
+            old = want.get(k, (0, top))
+            want[k] = old[0] + n, old[1]
+        runs.add(spark.createDataFrame(rows, "lo long, hi long, n long, top long"))
+    assert len(runs.levels) == 3 and sum(map(len, runs.levels)) == 3
+    assert {r.lo: (r.n, r.top) for r in runs.merged().collect()} == want
+    name = runs._write(spark.createDataFrame([(k, -k, 1, 0, True) for k in want], "lo long, hi long, n long, top long, fresh boolean"))
+    runs.levels[0].append(name)
+    with pytest.raises(Exception, match="fresh in two runs"):
+        runs.merged().collect()
+    runs.clear()
 
 
 @pytest.fixture(scope="module")
