@@ -1,98 +1,130 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network (two GRUs, one from either end) reads a piece of text byte by byte and gives every position a distribution over
-languages; a document's probabilities are the mean over all its positions.  Pieces are what stands between ASCII white
-space, longer ones cut every 24 bytes, each read from a zero state.  So a piece's labels depend on the piece alone, and each
-distinct piece is read once per worker.  It is trained in numpy by backpropagation through time.
+The network (two GRUs, one from either end) reads whole texts byte by byte, white space and all, and gives every position a
+distribution over languages; a document's probabilities are the mean over all its positions.  It is trained in numpy by
+backpropagation through time, on crops spread over the texts of labelled rows.
+
+So that a long text is not one long chain of steps, it is read in windows, many side by side.  A window's state starts from
+zero ``CONTEXT`` bytes ahead of the window (behind it, for the GRU that reads backwards), or at the text's end if that is nearer.  By
+then a gated state has forgotten where it began: pooled probabilities agree with those of one pass over the text to 1e-3
+(tests hold them together).
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skygrid.llm.common import row_chunks, run_hashes, runs, small_batches, text_buffers
+from skygrid.llm.common import WORDS, row_chunks, small_batches, text_buffers
 
-PIECE, HIDDEN = 24, 10
-MAX_PIECES = 1_500_000
+HIDDEN = 8
+#: Bytes that a window labels, and that it reads before them.
+SPAN, CONTEXT = 1024, 64
+#: Bytes of a training crop.
+CROP = 64
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def text_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each piece of at most PIECE bytes."""
-    starts, ends, rows = runs(data, offsets)
-    parts = -(-(ends - starts) // PIECE)
-    if not len(parts) or parts.max() <= 1:
-        return starts, ends, rows
-    of = np.repeat(np.arange(len(parts)), parts)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = starts[of] + k * PIECE
-    return begin, np.minimum(begin + PIECE, ends[of]), rows[of]
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.multiply(x, 0.5, out=x)
-    np.tanh(x, out=x)
-    np.multiply(x, 0.5, out=x)
-    return np.add(x, 0.5, out=x)
+def _soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + abs(x)), in place of a tanh; (1 + it) / 2 in place of a sigmoid.  Its slope at y is (1 - abs(y)) ** 2."""
+    return x / (1 + np.abs(x))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=0))
-    return x / x.sum(axis=0)
+    """Along the last axis."""
+    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    return x / x.sum(axis=-1, keepdims=True)
 
 
 @dataclass
 class Gru:
-    """Gates of 3H rows: update, reset, candidate.  ``e`` holds the input's share for each byte."""
-
-    e: np.ndarray  # 256 x 3H
-    u: np.ndarray  # 2H x H, of update and reset
-    c: np.ndarray  # H x H, of the candidate
-
-    def forward(self, x: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States (L, H, B) for bytes x (L, B)."""
-        size = self.c.shape[0]
-        h = np.zeros((size, x.shape[1]), self.c.dtype)
+    """Weights of gates update (z), reset (r) and the candidate (n): of the byte read, 256 x H, and of the state before, H x H."""
+
+    bz: np.ndarray
+    br: np.ndarray
+    bn: np.ndarray
+    uz: np.ndarray
+    ur: np.ndarray
+    un: np.ndarray
+
+    def forward(self, x: np.ndarray, trace: list) -> np.ndarray:
+        """States (L, B, H) for bytes x (L, B), from zero states; ``trace`` gets what backpropagation needs."""
+        h = np.zeros((x.shape[1], len(self.un)), self.un.dtype)
         out = np.empty((len(x), *h.shape), h.dtype)
         for t, now in enumerate(x):
-            a = self.e.T[:, now]
-            gates = _sigmoid(a[: 2 * size] + self.u @ h)
-            z, r = gates[:size], gates[size:]
+            z = 0.5 * _soft(h @ self.uz + self.bz.take(now, axis=0)) + 0.5
+            r = 0.5 * _soft(h @ self.ur + self.br.take(now, axis=0)) + 0.5
             rh = r * h
-            n = np.tanh(a[2 * size :] + self.c @ rh)
-            if trace is not None:
-                trace.append((h, z, r, rh, n))
+            n = _soft(rh @ self.un + self.bn.take(now, axis=0))
+            trace.append((h, z, r, rh, n))
             h = n + z * (h - n)
             out[t] = h
         return out
 
     def backward(self, x: np.ndarray, trace: list, d_out: np.ndarray) -> list[np.ndarray]:
-        """Gradients of e, u and c, through time from the last state to the first."""
-        size = self.c.shape[0]
-        de, du, dc = np.zeros_like(self.e), np.zeros_like(self.u), np.zeros_like(self.c)
+        """Gradients of the weights in their order, through time from the last state to the first."""
+        size = len(self.un)
+        du = [np.zeros_like(self.un) for _ in range(3)]
+        d_in = np.empty((*x.shape, 3 * size), self.un.dtype)
         dh = np.zeros_like(d_out[0])
         for t in range(len(x) - 1, -1, -1):
             h, z, r, rh, n = trace[t]
-            dh = dh + d_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            drh = self.c.T @ dn
-            dg = np.concatenate([dh * (h - n) * z * (1 - z), drh * h * r * (1 - r)])
-            hot = np.zeros((256, x.shape[1]))
-            hot[x[t], np.arange(x.shape[1])] = 1
-            de += hot @ np.concatenate([dg, dn]).T
-            du += dg @ h.T
-            dc += dn @ rh.T
-            dh = dh * z + drh * r + self.u.T @ dg
-        return [de, du, dc]
+            dh += d_out[t]
+            dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
+            drh = dn @ self.un.T
+            dz = dh * (h - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+            dr = drh * h * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+            for k, (left, d) in enumerate(((h, dz), (h, dr), (rh, dn))):
+                du[k] += left.T @ d
+                d_in[t, :, k * size : (k + 1) * size] = d
+            dh = dh * z + drh * r + dz @ self.uz.T + dr @ self.ur.T
+        order = np.argsort(x, axis=None, kind="stable")
+        values = x.ravel()[order]
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        d = np.zeros((256, 3 * size), self.un.dtype)
+        d[values[first]] = np.add.reduceat(d_in.reshape(-1, 3 * size)[order], first, axis=0)
+        return [d[:, :size], d[:, size : 2 * size], d[:, 2 * size :], *du]
+
+
+class Reader:
+    """A GRU's steps without a trace, in buffers of its own; the halves of the gates are taken into the weights of what follows."""
+
+    def __init__(self, gru: Gru, rows: int) -> None:
+        self.gru = gru
+        self.un = 0.5 * gru.un
+        self.h = np.zeros((rows, len(gru.un)), np.float32)
+        self.held = [np.empty_like(self.h) for _ in range(4)]
+
+    def step(self, x: np.ndarray) -> np.ndarray:
+        """The first len(x) states after reading a byte each; a view that the next step overwrites."""
+        h = self.h[: len(x)]
+        z, r, n, own = (b[: len(x)] for b in self.held)
+
+        def soft(out: np.ndarray, left: np.ndarray, u: np.ndarray, b: np.ndarray) -> None:
+            np.matmul(left, u, out=out)
+            np.take(b, x, axis=0, out=own, mode="clip")
+            np.add(out, own, out=out)
+            np.abs(out, out=own)
+            np.add(own, 1, out=own)
+            np.divide(out, own, out=out)
+
+        soft(z, h, self.gru.uz, self.gru.bz)
+        soft(r, h, self.gru.ur, self.gru.br)
+        r += 1
+        r *= h
+        soft(n, r, self.un, self.gru.bn)
+        z += 1
+        z *= 0.5
+        h -= n
+        h *= z
+        h += n
+        return h
 
 
 @dataclass
@@ -100,153 +132,144 @@ class Model:
     langs: list[str]
     ahead: Gru
     back: Gru
-    w: np.ndarray  # K x 2H
-    b: np.ndarray  # K x 1
+    w: np.ndarray  # 2H x K
+    b: np.ndarray  # K
 
     def params(self) -> list[np.ndarray]:
-        return [self.ahead.e, self.ahead.u, self.ahead.c, self.back.e, self.back.u, self.back.c, self.w, self.b]
+        return [*vars(self.ahead).values(), *vars(self.back).values(), self.w, self.b]
 
-    def states(self, x: np.ndarray, traces: tuple = (None, None)) -> np.ndarray:
-        return np.concatenate([self.ahead.forward(x, traces[0]), self.back.forward(x[::-1], traces[1])[::-1]], axis=1)
+    def positions(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A distribution over languages for each byte of the texts."""
+        logits = np.zeros((len(data), len(self.langs)), np.float32)
+        size = len(self.ahead.un)
+        begin, end, low, high = windows(offsets)
+        _scan(self.ahead, self.w[:size], data, low, end - low, begin - low, 1, logits)
+        _scan(self.back, self.w[size:], data, high - 1, high - begin, high - end, -1, logits)
+        return _softmax(logits + self.b)
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Distributions (L, K, B) over languages at each position of pieces x (L, B)."""
-        s = self.states(x)
-        return np.stack([_softmax(self.w @ s[t] + self.b) for t in range(len(x))])
+    def pool(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The mean distribution of each text; zeros for an empty one."""
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        n = np.diff(offsets)
+        full = np.flatnonzero(n)
+        if len(full):
+            out[full] = np.add.reduceat(self.positions(data, offsets), offsets[full], axis=0, dtype=float) / n[full, None]
+        return out
 
 
-def _new_model(langs: list[str], seed: int = 3) -> Model:
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window its begin and end, and the begin and end with context, within its text."""
+    lengths = np.diff(offsets)
+    parts = -(-lengths // SPAN)
+    of = np.repeat(np.arange(len(parts)), parts)
+    begin = offsets[of] + (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * SPAN
+    end = np.minimum(begin + SPAN, offsets[of + 1])
+    return begin, end, np.maximum(begin - CONTEXT, offsets[of]), np.minimum(end + CONTEXT, offsets[of + 1])
+
+
+def _scan(gru: Gru, w: np.ndarray, data: np.ndarray, first: np.ndarray, steps: np.ndarray, skip: np.ndarray, way: int, logits: np.ndarray) -> None:
+    """Add a GRU's share of the logits of the bytes that windows label.
+
+    A window reads ``steps`` bytes from ``first`` in direction ``way`` and labels none of the first ``skip``.  Longer windows
+    stand first, so those still being read are always the first ones.
+    """
+    order = np.argsort(-steps, kind="stable")
+    first, steps, skip = first[order], steps[order], skip[order]
+    reader, data = Reader(gru, len(first)), data.astype(np.intp)
+    alive = np.searchsorted(-steps, -np.arange(int(steps[0]) if len(steps) else 0), side="left")
+    at, out, k = np.empty(int(steps.sum()), np.intp), np.empty((int(steps.sum()), w.shape[1]), np.float32), 0
+    for t, n in enumerate(alive.tolist()):
+        now = np.add(first[:n], way * t, out=at[k : k + n])
+        np.matmul(reader.step(data[now]), w, out=out[k : k + n])
+        if t < CONTEXT:
+            now[skip[:n] > t] = -1
+        k += n
+    own = np.flatnonzero(at >= 0)
+    logits[at[own]] += out[own]
+
+
+def _new_model(langs: list[str], seed: int = 3, kind: type = np.float32) -> Model:
     rng = np.random.default_rng(seed)
 
     def gru() -> Gru:
-        return Gru(rng.normal(0, 0.5, (256, 3 * HIDDEN)), rng.normal(0, HIDDEN**-0.5, (2 * HIDDEN, HIDDEN)), rng.normal(0, HIDDEN**-0.5, (HIDDEN, HIDDEN)))
+        own = [rng.normal(0, 0.5, (256, HIDDEN)) for _ in range(3)] + [rng.normal(0, HIDDEN**-0.5, (HIDDEN, HIDDEN)) for _ in range(3)]
+        return Gru(*(a.astype(kind) for a in own))
+
+    return Model(langs, gru(), gru(), rng.normal(0, 0.3, (2 * HIDDEN, len(langs))).astype(kind), np.zeros(len(langs), kind))
 
-    return Model(langs, gru(), gru(), rng.normal(0, 0.3, (len(langs), 2 * HIDDEN)), np.zeros((len(langs), 1)))
 
+def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy over all positions of crops x (L, B) with languages y (B), for ``model.params()``."""
+    size, traces = len(model.ahead.un), ([], [])
+    s = np.concatenate([model.ahead.forward(x, traces[0]), model.back.forward(x[::-1], traces[1])[::-1]], axis=2)
+    d = _softmax(s @ model.w + model.b)
+    d[:, np.arange(len(y)), y] -= 1
+    d /= x.size
+    ds = d @ model.w.T
+    dw = np.tensordot(s, d, axes=([0, 1], [0, 1]))
+    return [*model.ahead.backward(x, traces[0], ds[:, :, :size]), *model.back.backward(x[::-1], traces[1], ds[::-1, :, size:]), dw, d.sum(axis=(0, 1))]
 
-def train(pieces: list[tuple[bytes, int]], weights: np.ndarray, langs: list[str], steps: int = 800, size: int = 256, seed: int = 4) -> Model:
-    """Fit by Adam: a step takes ``size`` pieces of one length, drawn by weight, every position labelled."""
+
+def train(crops: list[tuple[bytes, int]], langs: list[str], steps: int = 200, size: int = 128, seed: int = 4) -> Model:
+    """Fit by Adam: a step takes ``size`` crops of about one length, every position labelled.
+
+    Crops go by length into groups and are repeated to the length of the longest of theirs, so none is filled up.
+    """
     model = _new_model(langs)
-    if not pieces or len(langs) < 2:
+    if not crops or len(langs) < 2:
         return model
     rng, p = np.random.default_rng(seed), model.params()
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    lengths = np.array([len(w) for w, _ in pieces])
-    groups = []
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        x = np.stack([np.frombuffer(pieces[i][0], np.uint8) for i in at], axis=1)
-        groups.append((x, np.array([pieces[i][1] for i in at]), np.cumsum(weights[at])))
-    mass = np.cumsum([g[2][-1] for g in groups])
+    groups: dict[int, list[int]] = {}
+    for i, (text, _) in enumerate(crops):
+        groups.setdefault(-(-len(text) // 8) * 8, []).append(i)
+    drawn = []
+    for n, at in sorted(groups.items()):
+        x = np.stack([np.resize(np.frombuffer(crops[i][0], np.uint8), n) for i in at], axis=1)
+        drawn.append((x, np.array([crops[i][1] for i in at])))
+    mass = np.cumsum([len(y) for _, y in drawn])
     for step in range(1, steps + 1):
-        x, y, total = groups[int(np.searchsorted(mass, rng.random() * mass[-1]).clip(0, len(groups) - 1))]
-        k = np.searchsorted(total, rng.random(size) * total[-1]).clip(0, len(y) - 1)
-        x, y = x[:, k], y[k]
-        traces: tuple[list, list] = ([], [])
-        s = model.states(x, traces)
-        ds = np.empty_like(s)
-        dw, db = np.zeros_like(model.w), np.zeros_like(model.b)
-        for t in range(len(x)):
-            d = _softmax(model.w @ s[t] + model.b)
-            d[y, np.arange(size)] -= 1
-            d /= size * len(x)
-            dw += d @ s[t].T
-            db += d.sum(axis=1, keepdims=True)
-            ds[t] = model.w.T @ d
-        grads = [*model.ahead.backward(x, traces[0], ds[:, :HIDDEN]), *model.back.backward(x[::-1], traces[1], ds[::-1, HIDDEN:]), dw, db]
+        x, y = drawn[int(np.searchsorted(mass, rng.random() * mass[-1], side="right").clip(0, len(drawn) - 1))]
+        k = rng.integers(0, len(y), size)
         rate = 0.01 * min(1.0, 2 * (1 - step / (steps + 1)))
-        for a, g, mm, vv in zip(p, grads, m, v, strict=True):
+        for a, g, mm, vv in zip(p, gradients(model, x[:, k], y[k]), m, v, strict=True):
             mm += 0.1 * (g - mm)
             vv += 0.01 * (g * g - vv)
-            a -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-8)
-    return Model(langs, *(Gru(*(a.astype(np.float32) for a in (g.e, g.u, g.c))) for g in (model.ahead, model.back)), model.w.astype(np.float32), model.b.astype(np.float32))
+            a -= (rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-8)).astype(a.dtype)
+    return model
 
 
-def fit(docs: DataFrame, *, max_docs: int = 3000, max_langs: int = 256, max_pieces: int = 60_000) -> Model:
-    """Learn from at most ``max_docs`` rows of ``docs`` (doc_id, text, lang) with a text and a language.
+def fit(docs: DataFrame, *, max_docs: int = 3000, crops: int = 6) -> Model:
+    """Learn from at most ``max_docs`` rows of ``docs`` (doc_id, text, lang) with a text and a language, and all their languages.
 
-    The rows are those with the smallest hashes of doc_id in each language, as many of each; of their pieces the
-    ``max_pieces`` most frequent.  Only the ``max_langs`` most frequent languages are learned.
+    The rows are dealt out among the languages in turn, those with the smallest hashes of doc_id first; rows with a null id don't
+    count.  Of each text ``crops`` crops of 64 bytes, evenly spread from its first byte to its last, are learned from, or all of a
+    shorter one.
     """
     small_batches(docs.sparkSession)
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs, ids = sorted(r["lang"] for r in counts), []
-    for lang in langs:
-        best = own.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, max_docs // len(langs)))
-        ids += [r[0] for r in best.collect() if r[0] is not None]
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "doc_id long")
-    rows = own.join(F.broadcast(wanted), "doc_id", "left_semi")  # max_docs ids
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            own_langs = batch.column(0).to_pylist()
-            for i, j in row_chunks(offsets):
-                part = data[offsets[i] : offsets[j]]
-                raw, (starts, ends, at) = part.tobytes(), text_pieces(part, offsets[i : j + 1] - offsets[i])
-                c = Counter((own_langs[i + r], raw[s:e]) for s, e, r in zip(starts.tolist(), ends.tolist(), at.tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.binary()), pa.array(list(c.values()), pa.int64())], ["lang", "piece", "n"]
-                )
-
-    found = rows.select("lang", "text").mapInArrow(count, "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    found = found.orderBy(F.desc("n"), "lang", "piece").limit(max_pieces).collect()
-    weights = np.array([r["n"] for r in found], float) ** 0.5
-    return train([(bytes(r["piece"]), langs.index(r["lang"])) for r in found], weights, langs)
-
-
-class PieceReader:
-    """Sums over the positions of each piece, known by hash, of the model's distributions; bounded, past its limit it starts anew."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.clear()
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    first = own.select("lang", "doc_id").withColumn("turn", turn).where(F.col("turn") <= max_docs)
+    wanted = first.orderBy("turn", F.xxhash64("doc_id"), "doc_id", "lang").limit(max_docs).select("doc_id", "lang").distinct()
+    rows = own.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")  # max_docs ids
 
-    def clear(self) -> None:
-        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(self.model.langs)), np.float32)
-
-    def read(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A row of K sums for each piece."""
-        out, lengths = np.empty((len(starts), len(self.model.langs)), np.float32), ends - starts
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            for i in range(0, len(at), 4096):
-                k = at[i : i + 4096]
-                x = data[starts[k][None, :] + np.arange(n)[:, None]]
-                out[k] = self.model.positions(x).sum(axis=0).T
-        return out
-
-    def pool(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Mean distribution of each text; zeros for one of white space."""
-        if len(self.keys) > MAX_PIECES:
-            self.clear()
-        starts, ends, rows = text_pieces(data, offsets)
-        out = np.zeros((len(offsets) - 1, len(self.model.langs)))
-        if not len(starts):
-            return out
-        distinct, first, of = np.unique(run_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
-        new = ~np.isin(distinct, self.keys, assume_unique=True)
-        if new.any():
-            keys = np.concatenate([self.keys, distinct[new]])
-            sums = np.concatenate([self.sums, self.read(data, starts[first[new]], ends[first[new]])])
-            by = np.argsort(keys)
-            self.keys, self.sums = keys[by], sums[by]
-        own = self.sums[np.searchsorted(self.keys, distinct)][of]
-        for k in range(out.shape[1]):
-            out[:, k] = np.bincount(rows, own[:, k], minlength=len(out))
-        n = np.bincount(rows, ends - starts, minlength=len(out))
-        return out / np.maximum(n, 1)[:, None]
-
-
-_readers: dict[int, PieceReader] = {}
-
-
-def _reader(model: Model, token: int) -> PieceReader:
-    if token not in _readers:
-        _readers.clear()
-        _readers[token] = PieceReader(model)
-    return _readers[token]
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            of, parts = [], []
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                starts = [a] if b - a <= CROP else sorted({a + k * (b - a - CROP) // max(1, crops - 1) for k in range(crops)})
+                for k in starts if b > a else []:
+                    of.append(i)
+                    parts.append(data[k : min(b, k + CROP)].tobytes())
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(parts, pa.binary())], ["doc_id", "lang", "crop"])
+
+    found = rows.mapInArrow(cut_out, "doc_id long, lang string, crop binary").toArrow().to_pylist()  # max_docs * crops rows
+    found.sort(key=lambda r: (r["doc_id"], r["lang"], r["crop"]))
+    langs = sorted({r["lang"] for r in found})
+    number = {lang: k for k, lang in enumerate(langs)}
+    return train([(r["crop"], number[r["lang"]]) for r in found], langs)
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -262,21 +285,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, probabilities) for each row of ``docs`` (doc_id, text).
 
     ``und`` with score 0 for a null text, one without a letter, or a model without languages; ties go to the first
-    language by name.  Rows that repeat an id are labelled each, other columns are not looked at.
+    language by name.  Rows that repeat an id are labelled each, other columns are not looked at.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    token = uuid.uuid4().int
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a network of fixed size but for a row for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(shared.value, token)
-        langs = reader.model.langs
+        model = shared.value
+        langs = model.langs
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j in row_chunks(offsets):
+            for i, j in row_chunks(offsets, 1 << 21):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 letters = has_letter(part, at) & bool(langs)
-                p = reader.pool(part, at) if langs else np.zeros((j - i, 1))
+                p = model.pool(part, at) if langs else np.zeros((j - i, 1))
                 best = p.argmax(axis=1)
                 name = [langs[k] if x else "und" for k, x in zip(best.tolist(), letters.tolist(), strict=True)]
                 score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
@@ -289,34 +311,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def language_spans(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, start, end, lang): runs of bytes of the UTF-8 text whose positions have the same best language, white space left out.
 
-    Null, empty and blank texts have none.
+    Null, empty and blank texts have none, and a model without languages gives none.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in batches if model.langs else ():
             data, offsets = text_buffers(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            for i, j in row_chunks(offsets):
+            ids = batch.column(0)
+            for i, j in row_chunks(offsets, 1 << 21):
                 part = data[offsets[i] : offsets[j]]
                 at = offsets[i : j + 1] - offsets[i]
-                starts, ends, rows = text_pieces(part, at)
-                best, row = np.full(len(part), -1), np.zeros(len(part), np.int64)
-                for n in np.unique(ends - starts):
-                    k = np.flatnonzero(ends - starts == n)
-                    places = starts[k][None, :] + np.arange(n)[:, None]
-                    best[places] = model.positions(part[places]).argmax(axis=1)
-                    row[places] = rows[k][None, :]
-                new = np.r_[True, (best[1:] != best[:-1]) | (row[1:] != row[:-1])] if len(best) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
+                best = np.where(WORDS[part] == 0, -1, model.positions(part, at).argmax(axis=1))
+                row = np.repeat(np.arange(j - i), np.diff(at))
+                first = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (row[1:] != row[:-1])]) if len(best) else np.zeros(0, np.int64)
                 last = np.r_[first[1:], len(best)] if len(first) else first
                 own = best[first] >= 0
                 first, last = first[own], last[own]
                 of = row[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i + r] for r in of.tolist()], pa.int64()), pa.array(first - at[of]), pa.array(last - at[of]), pa.array([model.langs[k] for k in best[first].tolist()], pa.string())],
+                    [ids.take(pa.array(i + of)), pa.array(first - at[of]), pa.array(last - at[of]), pa.array([model.langs[k] for k in best[first].tolist()], pa.string())],
                     ["doc_id", "start", "end", "lang"],
                 )
 

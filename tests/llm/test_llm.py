@@ -305,31 +305,63 @@ def test_language(spark):
     right = [got[i].lang_pred == k for i, _, k in rows if i % 3 == 0]
     assert sum(right) / len(right) > 0.95 and all(0 <= r.score <= 1 for r in got.values())
     assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "aa"]
-    spans = language.language_spans(docs.where("doc_id < 5"), model).collect()
+    spans = language.language_spans(docs.where("doc_id < 5").unionByName(odd.where("doc_id < 1002")), model).collect()
     for r in spans:
         assert 0 <= r.start < r.end <= len(rows[r.doc_id][1].encode()) and r.lang in parts
     none = language.fit(docs.where("false"))
     assert {r.lang_pred for r in language.predict(docs.limit(3), none).collect()} == {"und"}
+    assert language.predict(docs.where("false"), model).count() == 0 and language.language_spans(docs, none).count() == 0
+    twice = spark.createDataFrame([(1, "karu"), (1, "schung pf"), (None, "karu")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.lang_pred) for r in language.predict(twice, model).collect()) == [("1", "aa"), ("1", "bb"), ("None", "aa")]
+    tied = language.Model(["y", "z"], model.ahead, model.back, np.zeros((2 * language.HIDDEN, 2), np.float32), np.zeros(2, np.float32))
+    assert {r.lang_pred for r in language.predict(twice, tied).collect()} == {"y"}
+    few = language.fit(docs.union(odd), max_docs=7)
+    assert few.langs == ["aa", "bb", "cc"]
+
+
+def plain_positions(model, text):
+    """One step after another over the whole text, in plain Python but for the products."""
+
+    def soft(x):
+        return x / (1 + abs(x))
+
+    def states(g, text):
+        h, out = np.zeros(len(g.un)), []
+        for x in text:
+            z = 0.5 + 0.5 * soft(h @ g.uz + g.bz[x])
+            r = 0.5 + 0.5 * soft(h @ g.ur + g.br[x])
+            h = z * h + (1 - z) * soft((r * h) @ g.un + g.bn[x])
+            out.append(h)
+        return out
+
+    logits = [np.r_[a, b] @ model.w + model.b for a, b in zip(states(model.ahead, text), states(model.back, text[::-1])[::-1], strict=True)]
+    return np.array([np.exp(v) / np.exp(v).sum() for v in logits])
+
+
+def test_language_network_reads_whole_texts():
+    rng = np.random.default_rng(2)
+    model = language._new_model(["a", "b", "c"])
+    texts = [bytes(rng.integers(32, 127, n).astype(np.uint8)) for n in (1, 7, 64, 65, 1023, 1024, 1025, 1100, 5000)] + [b"", "é ü".encode()]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    got, pooled = model.positions(data, offsets), model.pool(data, offsets)
+    for i, t in enumerate(texts):
+        want = plain_positions(model, t) if t else np.zeros((0, 3))
+        assert np.abs(got[offsets[i] : offsets[i + 1]] - want).max(initial=0) < 1e-2
+        assert pooled[i] == pytest.approx(want.mean(axis=0) if t else np.zeros(3), abs=1e-3)
+    one, two = (np.frombuffer(t, np.uint8) for t in (b"the sea and wind", b"wind and sea the"))
+    assert np.abs(model.pool(one, np.array([0, 16])) - model.pool(two, np.array([0, 16]))).max() > 1e-4
 
 
 def test_gradients():
-    model = language._new_model(["a", "b"], seed=7)
+    model = language._new_model(["a", "b"], seed=7, kind=np.float64)
     x, y = np.random.default_rng(1).integers(0, 256, (5, 4)), np.array([0, 1, 1, 0])
 
     def loss():
-        p = model.positions(x)
-        return -np.log(p[:, y, np.arange(4)]).mean()
-
-    traces = ([], [])
-    s, ds = model.states(x, traces), None
-    ds = np.empty_like(s)
-    for t in range(len(x)):
-        d = language._softmax(model.w @ s[t] + model.b)
-        d[y, np.arange(4)] -= 1
-        ds[t] = model.w.T @ (d / 20)
-    h = language.HIDDEN
-    grads = [*model.ahead.backward(x, traces[0], ds[:, :h]), *model.back.backward(x[::-1], traces[1], ds[::-1, h:])]
-    for p, g in zip(model.params(), grads):
+        p = [plain_positions(model, x[:, k].tolist())[:, y[k]] for k in range(4)]
+        return -np.log(p).mean()
+
+    for p, g in zip(model.params(), language.gradients(model, x, y)):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old, eps = p[at], 1e-5
         p[at] = old + eps
