@@ -1,10 +1,10 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set of word shingles becomes K MinHash values of b = 16 bits each.  The first 28 values are split
-into 7 chunks of 4.  If two signatures differ in at most 2 * 7 - 1 = 13 of those places, the pigeonhole
-principle leaves a chunk with at most one difference; so each chunk is indexed once for each allowed error, that
-place left out, and every pair under the distance threshold meets in some index key.  At a Jaccard likeness of
-0.85 a pair fails in all seven chunks with probability 2e-7.
+A document's set of word shingles becomes MinHash values of 16 bits each.  The first of them are split into chunks of 4.
+If two signatures of n chunks differ in at most 2 * n - 1 of those places, the pigeonhole principle leaves a chunk with at
+most one difference; so each chunk is indexed once for each allowed error, that place left out, and every pair
+under the distance threshold meets in some index key.  ``Plan`` derives the number of chunks from the likeness asked for: at
+0.85 and 0.8 there are 7, which a pair at 0.85 fails all with probability 2e-7, and one at 0.8 with 6e-6.
 
 Links are confirmed on the full shingle sets.  Equal sets are one class, so copies never multiply.  In an index key
 every class is first held against the key's smallest class only; what those links join needs no further look.
@@ -16,7 +16,9 @@ class, fetches each text once, and gives the links of a spanning forest, so what
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,47 @@ from pyspark.sql import functions as F
 from skygrid.llm.common import GOLDEN, cut, mix, row_chunks, run_hashes, runs, small_batches, text_buffers
 from skygrid.llm.components import connected
 
-CHUNKS, PLACES, SIZE = 7, 4, 64
-#: Differences of 64 values beyond which a pair is dropped before its sets are read: 2e-7 of pairs at 0.85 and 8e-8 at 0.8 exceed it.
-FAR = {0.85: 26, 0.8: 31}
-WIDE = 512
-#: The same for 512 values: 5 standard deviations above the mean, which 5e-7 of pairs at 0.85 and 3e-7 at 0.8 exceed.
-FAR_WIDE = {0.85: 118, 0.8: 149}
+PLACES, WIDE = 4, 512
+#: Probabilities that a pair at the threshold fails all chunks, and that it exceeds either signature's bound.
+MISS, FAR_MISS = 1e-5, 2e-7
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What a threshold asks for: number of chunks, of 16-bit values, and the most differing ones of those and of the 512 8-bit values."""
+
+    chunks: int
+    size: int
+    far: int
+    far_wide: int
+
+    @staticmethod
+    def of(percent: int) -> Plan:
+        if not 30 <= percent <= 100:
+            raise ValueError("near-duplicates are found at 30 to 100 percent")
+        s = percent / 100
+        fails = 1 - s**PLACES - PLACES * s ** (PLACES - 1) * (1 - s)
+        chunks = max(7, math.ceil(math.log(MISS) / math.log(fails))) if fails > 0 else 7
+        size = max(64, chunks * PLACES)
+        return Plan(chunks, size, _tail(size, (1 - s) * (1 - 2.0**-16)), _tail(WIDE, (1 - s) * (1 - 2.0**-8)))
+
+
+def _tail(n: int, p: float) -> int:
+    """The smallest number that a binomial one exceeds with probability FAR_MISS at most."""
+    above, k = 0.0, n
+    while k > 0:
+        above += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if above > FAR_MISS:
+            return k
+        k -= 1
+    return 0
+
+
 BLOCK = 1024
 _A32 = (mix(np.arange(2001, WIDE + 2001, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B32 = (mix(np.arange(3001, WIDE + 3001, dtype=np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32)
-_A = mix(np.arange(1, SIZE + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
-_B = mix(np.arange(1001, SIZE + 1001, dtype=np.uint64) * GOLDEN)
+_A = mix(np.arange(1, 1001, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+_B = mix(np.arange(1001, 2001, dtype=np.uint64) * GOLDEN)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -67,16 +99,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of 64 16-bit and of 512 8-bit MinHash values; zeros for empty sets."""
-    out, wide = np.zeros((len(sets), SIZE), np.uint16), np.zeros((len(sets), WIDE), np.uint8)
+def signature(sets: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``size`` 16-bit and of 512 8-bit MinHash values; zeros for empty sets."""
+    out, wide = np.zeros((len(sets), size), np.uint16), np.zeros((len(sets), WIDE), np.uint8)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         lengths = np.array([len(sets[i]) for i in full])
         starts = np.cumsum(lengths) - lengths
         flat = np.concatenate([sets[i] for i in full])
         scratch = np.empty_like(flat)
-        for k in range(SIZE):
+        for k in range(size):
             np.bitwise_xor(flat, _B[k], out=scratch)
             np.multiply(scratch, _A[k], out=scratch)
             out[full, k] = mix(np.minimum.reduceat(scratch, starts)) & np.uint64(0xFFFF)
@@ -90,7 +122,7 @@ def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, wide
 
 
-def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, words: int, size: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, lo, hi, sig, wide): set size, two 64-bit hashes of the set, packed signatures."""
     small_batches(docs.sparkSession)
 
@@ -102,7 +134,7 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                 sums = [mix(s) for s in sets]
                 lo = np.array([s.sum(dtype=np.uint64) for s in sums], np.uint64)
                 hi = np.array([np.bitwise_xor.reduce(mix(s + GOLDEN)) if len(s) else 0 for s in sums], np.uint64)
-                sig, wide = signature(sets)
+                sig, wide = signature(sets, size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -120,16 +152,17 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
 
 
 def _sigs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SIZE)
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, np.uint16).reshape(len(column), -1 if len(column) else 64)
 
 
-def index_keys(classes: DataFrame) -> DataFrame:
+def index_keys(classes: DataFrame, chunks: int) -> DataFrame:
     """(key, rep): for each chunk of a class's signature the keys with one place left out, exact, not hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig, keys = _sigs(batch.column(1)).astype(np.int64), []
-            for c in range(CHUNKS):
+            for c in range(chunks):
                 chunk = sig[:, c * PLACES : (c + 1) * PLACES]
                 for out in range(PLACES):
                     key = np.full(len(sig), c * PLACES + out, np.int64)
@@ -227,15 +260,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return own.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _first_key(x: np.ndarray, y: np.ndarray, chunks: int) -> np.ndarray:
     """Number of the first index key that signatures ``x`` share with ``y``, for pairs that share one."""
-    same = (x[..., : CHUNKS * PLACES] == y[..., : CHUNKS * PLACES]).reshape(-1, CHUNKS, PLACES)
+    same = (x[..., : chunks * PLACES] == y[..., : chunks * PLACES]).reshape(-1, chunks, PLACES)
     chunk = (same.sum(axis=2) >= PLACES - 1).argmax(axis=1)
     own = same[np.arange(len(same)), chunk]
     return chunk * PLACES + np.where(own.all(axis=1), 0, (~own).argmax(axis=1))
 
 
-def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
+def _block_pairs(rows: DataFrame, far: int, chunks: int) -> DataFrame:
     """Near pairs inside (key, pair of blocks) groups as (key, p, doc_id, others), others being the larger ends.
 
     Rows (key, p, blk, rep, comp, sig, wide) of one group stand together.  Each end of a pair gets one row.
@@ -251,7 +284,7 @@ def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
             other = other[comp[other] != comp[i]]
             other = other[(wide[other] != wide[i]).sum(axis=1) <= far]
             if len(other):
-                other = other[_first_key(sig[other], sig[i]) == number]
+                other = other[_first_key(sig[other], sig[i], chunks) == number]
                 a.append(np.minimum(rep[i], rep[other]))
                 b.append(np.maximum(rep[i], rep[other]))
         none = np.zeros(0, np.int64)
@@ -274,7 +307,7 @@ def _block_pairs(rows: DataFrame, far: int) -> DataFrame:
         if len(two):
             two = two[comp[two] != comp[two + 1]]
             two = two[(wide[two] != wide[two + 1]).sum(axis=1) <= far]
-            two = two[_first_key(sig[two], sig[two + 1]) == number[two]]
+            two = two[_first_key(sig[two], sig[two + 1], chunks) == number[two]]
             a.append(np.minimum(rep[two], rep[two + 1]))
             b.append(np.maximum(rep[two], rep[two + 1]))
             row.append(two)
@@ -356,19 +389,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     lower-cased and words split at ASCII white space.  ``component_id`` is the smallest id reachable.
     Null or empty texts and texts of white space have no shingles and no links.  A null id links with nothing and is
     kept, its component null.  Rows that repeat an id belong together.  Other columns are not looked at.  An
-    empty table gives no rows.
+    empty table gives no rows.  A ``percent`` below 30 is an error.
     """
-    far, far_wide = (next((v for k, v in sorted(t.items(), reverse=True) if percent / 100 >= k), n) for t, n in ((FAR, SIZE), (FAR_WIDE, WIDE)))
+    plan = Plan.of(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sigs = cut(signatures(docs, words))
+    sigs = cut(signatures(docs, words, plan.size))
     small_batches(docs.sparkSession)
     some = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("wide").alias("wide")))
 
-    keys = index_keys(classes)
+    keys = index_keys(classes, plan.chunks)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = cut(keys.join(buckets, "key").where("rep != pivot"))
-    star = cut(_near(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), classes, far))
+    star = cut(_near(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), classes, plan.far))
     links = cut(confirmed(star, docs, words, percent))
     comps = connected(links)
 
@@ -382,7 +415,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("p", F.least("blk", "other").cast("long") * F.lit(1 << 31) + F.greatest("blk", "other"))
     rows = rows.select("key", "p", "blk", "rep", "comp", "sig", "wide").repartition("key", "p").sortWithinPartitions("key", "p")
-    more = cut(confirmed_in_groups(cut(_block_pairs(rows, far_wide)), docs, words, percent))
+    more = cut(confirmed_in_groups(cut(_block_pairs(rows, plan.far_wide, plan.chunks)), docs, words, percent))
     if not more.isEmpty():
         comps = connected(links.unionAll(more))
 

@@ -49,7 +49,7 @@ def shingles(text, n):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
+@pytest.mark.parametrize("words,percent", [(3, 85), (5, 80), (3, 60), (3, 50), (2, 100)])
 def test_near_duplicates(spark, words, percent):
     texts = near_texts()
     sets = [shingles(t, words) for t in texts]
@@ -71,15 +71,42 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (5, 5, True), (7, 7, True), (7, 7, True)]
 
 
-@pytest.mark.parametrize("likeness", [0.85, 0.8])
-def test_near_duplicate_bounds_miss_less_than_one_in_a_million(likeness):
+@pytest.mark.parametrize("percent", [85, 80, 60, 50, 30])
+def test_near_duplicate_bounds_miss_few(percent):
     from math import comb
 
     from skygrid.llm import near_dedup
 
-    for size, bits, far in ((near_dedup.SIZE, 16, near_dedup.FAR), (near_dedup.WIDE, 8, near_dedup.FAR_WIDE)):
-        p = (1 - likeness) * (1 - 2.0**-bits)
-        assert sum(comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(far[likeness] + 1, size + 1)) < 1e-6
+    plan, s = near_dedup.Plan.of(percent), percent / 100
+    for size, bits, far in ((plan.size, 16, plan.far), (near_dedup.WIDE, 8, plan.far_wide)):
+        p = (1 - s) * (1 - 2.0**-bits)
+        assert sum(comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(far + 1, size + 1)) < 1e-6
+    assert (1 - s**4 - 4 * s**3 * (1 - s)) ** plan.chunks <= near_dedup.MISS and plan.chunks * 4 <= plan.size
+
+
+def test_near_duplicates_below_the_least_threshold(spark):
+    with pytest.raises(ValueError):
+        near_duplicates(documents(spark, ["a"]), percent=20)
+
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_near_dedup", "op7_exact_top_k", "op9_mixing"])
+def test_query_against_its_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from skygrid.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, folder).toPandas()[list(want.columns)]
+    key = lambda r: [str(v) for v in r]
+    assert sorted(map(key, got.values.tolist())) == sorted(map(key, want.values.tolist()))
 
 
 def test_components(spark):
