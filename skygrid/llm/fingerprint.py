@@ -1,22 +1,35 @@
 """One-permutation MinHash fingerprints, in DataFrame functions only.
 
 Each shingle is hashed once.  The top 7 bits of the hash choose one of 128 bins and the smallest hash of a bin stands
-for it.  An empty bin takes the value of the bin that comes first in its own random order of all bins, which is
-optimal densification: its probes h(i, 1), h(i, 2) ... up to the first bin that is not empty, drawn without repeats.  Of
-each bin the 8 lowest bits are stored.  Unequal values agree in them with probability C = 2**-8, so a share p of agreeing
-bins is corrected to (p - C) / (1 - C).
+for it.  An empty bin i takes the value of the bin that comes first in its own random order of all bins, which is
+optimal densification: its probes h(i, 1), h(i, 2) ... up to the first bin that is not empty, drawn without repeats.  The order is
+that of b * FACTORS[i] + SHIFTS[i] modulo a prime.  Of each bin the 8 lowest bits are stored.  Unequal values agree in
+them with probability C = 2**-8, so a share p of agreeing bins is corrected to (p - C) / (1 - C).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skygrid.llm.common import GOLDEN, free_names, mix
+
 BIN_BITS, LOW_BITS = 7, 8
 BINS = 1 << BIN_BITS
-NO_ID = -(1 << 63)
+
+
+PRIME = (1 << 31) - 1
+
+
+def _numbers(first: int) -> list[int]:
+    """128 pseudo-random numbers from 1 to PRIME - 1."""
+    return [int(x % np.uint64(PRIME - 1)) + 1 for x in mix(np.arange(first, first + BINS, dtype=np.uint64) * GOLDEN)]
+
+
+FACTORS, SHIFTS = _numbers(1), _numbers(1001)
 
 
 def _bin(h: Column) -> Column:
@@ -28,23 +41,32 @@ def with_signature(df: DataFrame, text: str, out: str, words: int = 5) -> DataFr
 
     Shingles are ``words`` words between ASCII white space; a shorter text is one shingle.
     """
-    toks, mins, bins = f"{out}__w", f"{out}__m", f"{out}__b"
+    toks, mins = free_names([*df.columns, out], 2)
     df = df.withColumn(toks, F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", -1))
     n = F.size(toks)
     many = F.transform(F.sequence(F.lit(1), F.greatest(n - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(F.col(toks), i, words)))
-    df = df.withColumn(mins, F.array_sort(many))
-    df = df.withColumn(mins, F.filter(mins, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(mins), i - 1)))))
-    df = df.withColumn(bins, F.transform(mins, lambda x: _bin(x)))
-
-    def value(i: Column) -> Column:
-        at = F.array_position(F.col(bins), i)
-        first = F.array_min(F.transform(F.col(mins), lambda x: F.struct(F.xxhash64(i, _bin(x)).alias("r"), x.alias("x"))))
-        x = F.when(at > 0, F.get(F.col(mins), (at - 1).cast("int"))).otherwise(first["x"])
-        return (x.bitwiseAND(F.lit((1 << LOW_BITS) - 1)) - 128).cast("tinyint")
-
-    sig = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), value)
+    df = df.withColumn(mins, F.sort_array(many))
+    # The smallest hash of each bin, as (bin, low bits) in one number, by ascending bins.
+    firsts = F.filter(mins, lambda x, i: (i == 0) | (F.shiftright(x, 64 - BIN_BITS) != F.shiftright(F.get(F.col(mins), i - 1), 64 - BIN_BITS)))
+    low = (1 << LOW_BITS) - 1
+    df = df.withColumn(mins, F.transform(firsts, lambda x: (_bin(x) * (low + 1)).bitwiseOR(x.bitwiseAND(F.lit(low)))))
+    factors, shifts = (F.array(*[F.lit(x).cast("long") for x in numbers]) for numbers in (FACTORS, SHIFTS))
+
+    def borrowed(i: Column) -> Column:
+        """The value of the bin that is first in the order of an empty bin i: the low bits of a number whose high bits give the order."""
+        order = lambda x: (F.shiftright(x, LOW_BITS) * F.get(factors, i) + F.get(shifts, i)) % PRIME
+        return F.array_min(F.transform(F.col(mins), lambda x: order(x) * (low + 1) + x.bitwiseAND(F.lit(low)))).bitwiseAND(F.lit(low))
+
+    def stretch(x: Column, k: Column) -> Column:
+        """The values of a full bin and the empty bins up to the next full one; the first has those before it as well."""
+        own = F.shiftright(x, LOW_BITS).cast("int")
+        last = F.coalesce(F.shiftright(F.get(F.col(mins), k + 1), LOW_BITS).cast("int") - 1, F.lit(BINS - 1))
+        first = F.when(k == 0, 0).otherwise(own)
+        return F.transform(F.sequence(first, last), lambda i: (F.when(i == own, x.bitwiseAND(F.lit(low))).otherwise(borrowed(i)) - 128).cast("tinyint"))
+
+    sig = F.flatten(F.transform(F.col(mins), stretch))
     empty = (n == 1) & (F.get(F.col(toks), F.lit(0)) == "")
-    return df.withColumn(out, F.when(~empty, sig)).drop(toks, mins, bins)
+    return df.withColumn(out, F.when(~empty, sig)).drop(toks, mins)
 
 
 def packed(sig: Column) -> Column:
@@ -61,41 +83,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(share, F.lit(0.0)))
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, carried: list[str], rows_per_bucket: int = 2000) -> DataFrame:
-    """``df`` with a struct ``next`` of the ``carried`` columns of the next row by (id, text), after the last the first.
+def with_next(df: DataFrame, id_col: str, text_col: str, carried: list[str], out: str, rows_per_bucket: int = 2000) -> DataFrame:
+    """``df`` with a struct ``out`` of the ``carried`` columns of the next row by (id, text), null ids first; after the last the first.
 
     Ids are cut into ranges at quantiles, themselves ids that occur.  A row that begins a range is also sent to the
     range before it, so that every range finds its last row's follower without a global sort: one exchange.
     """
-    df = df.withColumn("__ord", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    n, low = df.agg(F.count("*"), F.min("__ord")).first()
+    ids, bucket, at = free_names([*df.columns, out], 3)
+    df = df.withColumn(ids, F.col(id_col).cast("long"))
+    n, low, known = df.agg(F.count("*"), F.min(ids), F.count(ids)).first()
     if not n:
-        return df.drop("__ord").withColumn("next", F.struct(*carried))
+        return df.drop(ids).withColumn(out, F.struct(*carried))
+    first = F.col(ids).isNull() if known < n else F.col(ids) == low
     parts = min(65_536, n // rows_per_bucket + 1)
-    cuts = df.agg(F.percentile_approx("__ord", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 8 * parts))).first()[0] if parts > 1 else []
-    cuts = sorted({c for c in cuts if c > low})
+    cuts = df.agg(F.percentile_approx(ids, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 8 * parts))).first()[0] if parts > 1 else []
+    cuts = sorted({c for c in cuts or [] if c > low or known < n})
     step = max(1, math.isqrt(len(cuts)))
 
     def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda c: c <= F.col("__ord")))
+        return F.size(F.filter(values, lambda c: F.coalesce(c <= F.col(ids), F.lit(False))))
 
+    number, begins = F.lit(0), F.lit(False)
     if cuts:
         fine = F.array(*[F.lit(c).cast("long") for c in cuts])
         coarse = below(F.array(*[F.lit(c).cast("long") for c in cuts[step - 1 :: step]])) * step
-        bucket = coarse + below(F.slice(fine, coarse + 1, F.lit(step)))
-        begins = F.get(fine, F.col("__bucket") - 1) == F.col("__ord")
-    else:
-        bucket, begins = F.lit(0), F.lit(False)
-    df = df.withColumn("__bucket", bucket)
+        number = coarse + below(F.slice(fine, coarse + 1, F.lit(step)))
+        begins = F.get(fine, F.col(bucket) - 1) == F.col(ids)
+    df = df.withColumn(bucket, number)
     places = F.array(
-        F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("s")),
-        F.when((F.col("__bucket") > 0) & begins, F.struct((F.col("__bucket") - 1).alias("b"), F.lit(1).alias("s"))),
-        F.when(F.col("__ord") == low, F.struct(F.lit(len(cuts)).alias("b"), F.lit(1).alias("s"))),
+        F.struct(F.col(bucket).alias("b"), F.lit(0).alias("s")),
+        F.when((F.col(bucket) > 0) & begins, F.struct((F.col(bucket) - 1).alias("b"), F.lit(1).alias("s"))),
+        F.when(first, F.struct(F.lit(len(cuts)).alias("b"), F.lit(1).alias("s"))),
     )
-    df = df.withColumn("__at", F.explode(F.filter(places, lambda x: x.isNotNull())))
-    w = Window.partitionBy("__at.b").orderBy("__at.s", "__ord", text_col)
-    df = df.withColumn("next", F.lead(F.struct(*carried)).over(w))
-    return df.where("__at.s = 0").drop("__ord", "__bucket", "__at")
+    df = df.withColumn(at, F.explode(F.filter(places, lambda x: x.isNotNull())))
+    w = Window.partitionBy(f"{at}.b").orderBy(f"{at}.s", F.col(ids).asc_nulls_first(), text_col)
+    df = df.withColumn(out, F.lead(F.struct(*carried)).over(w))
+    return df.where(f"{at}.s = 0").drop(ids, bucket, at)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -114,7 +137,7 @@ def edited_fingerprints(docs: DataFrame, *, words: int = 5) -> DataFrame:
     """
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = with_signature(own, "text", "sig", words)
-    own = with_next(own, "doc_id", "text", ["text", "sig"])
+    own = with_next(own, "doc_id", "text", ["text", "sig"], "next")
     own = own.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     cut_text = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next.text"), F.lit(1), half))

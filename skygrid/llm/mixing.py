@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rate beyond which a draw is the sum of several, and terms of a distribution of at most that rate.
+from skygrid.llm.common import cut, free_names
+
+#: Rate beyond which a draw is the sum of several, and terms of a distribution of at most that rate: what lies beyond
+#: 96 terms has a probability under 1e-40, far below the 52 bits of a draw, so every draw is decided.
 PART, TERMS = 16, 96
 MAX_BROADCAST = 10_000
 
@@ -61,18 +64,18 @@ def mix_sources(
     ``weights`` (source, weight) are the target shares, sources not in it having none; without, a source's weight is its
     number of rows to the power ``temperature``.  ``total`` is the expected number of rows, by default that of
     ``docs``.  A null source is a source of its own, a null id draws as the text "null", rows that repeat an id draw
-    alike.  Texts are not looked at.  A column that has the name of ``copy_col`` is replaced.  Empty tables give no rows.
+    alike.  Texts are not looked at.  Other columns pass through, whatever their names.  A column that has the name of ``copy_col`` is replaced.  Empty tables give no rows.
     """
-    rates = source_rates(docs, source_col, weights, temperature, total).select(F.col("source").alias("__source"), "parts", "cdf")
-    rates = rates.withColumnsRenamed({"parts": "__parts", "cdf": "__cdf"})
-    if rates.select("__source").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+    own_source, parts, cdf, count, order = free_names([*docs.columns, copy_col], 5)
+    rates = cut(source_rates(docs, source_col, weights, temperature, total).select(F.col("source").alias(own_source), F.col("parts").alias(parts), F.col("cdf").alias(cdf)))
+    if rates.count() <= MAX_BROADCAST:
         rates = F.broadcast(rates)  # at most 10,000 rows of 97 numbers
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: uniform(F.lit(str(seed)), key, j.cast("string")))
-    one = lambda u: F.size(F.filter(F.col("__cdf"), lambda c: c <= u))
-    count = F.aggregate(draws, F.lit(0), lambda s, u: s + one(u))
-    columns = [c for c in docs.columns if c != copy_col]
-    own = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("__source"))).withColumn("__count", count)
-    own = own.where("__count > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias(copy_col))
-    own = own.withColumn("__order", F.xxhash64(F.lit(seed), key, F.col(copy_col)))
-    return own.orderBy("__order", key, copy_col).drop("__order")
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(F.lit(str(seed)), key, j.cast("string")))
+    one = lambda u: F.size(F.filter(F.col(cdf), lambda c: c <= u))
+    copies = F.aggregate(draws, F.lit(0), lambda s, u: s + one(u))
+    columns = [f"`{c}`" for c in docs.columns if c != copy_col]
+    own = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col(own_source))).withColumn(count, copies)
+    own = own.where(F.col(count) > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col(count))).alias(copy_col))
+    own = own.withColumn(order, F.xxhash64(F.lit(seed), key, F.col(copy_col)))
+    return own.orderBy(order, key, copy_col).drop(order)

@@ -303,6 +303,56 @@ def test_fingerprints(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def plain_fingerprint(text, words=5):
+    """Bins, densification and packing in plain Python; the hash is that of the engine's strings."""
+    import xxhash
+
+    from skygrid.llm.fingerprint import FACTORS, PRIME, SHIFTS
+
+    w, least = text.encode().split(), {}
+    for i in range(max(1, len(w) - words + 1)) if w else ():
+        h = 42
+        for x in w[i : i + words]:
+            h = xxhash.xxh64_intdigest(x, seed=h)
+        h -= (h >> 63) << 64
+        least[(h >> 57) + 64] = min(h, least.get((h >> 57) + 64, h))
+
+    out = ""
+    for i in range(128 if w else 0):
+        b = i if i in least else min(least, key=lambda b: (b * FACTORS[i] + SHIFTS[i]) % PRIME)
+        out += f"{least[b] & 255:02x}"
+    return out
+
+
+def test_fingerprints_against_plain_python(spark):
+    rng = random.Random(5)
+    words = [f"w{i}é" for i in range(900)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 2, 5, 6, 20, 100, 300, 2000)] + [None, "", "\t \n", "a" * 30_000]
+    got = {r.doc_id: r for r in edited_fingerprints(documents(spark, texts).withColumn("next", F.lit(1))).collect()}
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        a, b, c = (plain_fingerprint(x) for x in (t, edited, nxt))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (a, b)
+        for v, other in ((got[i].near_edited, b), (got[i].near_next, c)):
+            share = sum(a[k : k + 2] == other[k : k + 2] for k in range(0, 256, 2)) / 128 if a and other else float(a == other)
+            assert v == pytest.approx(max(0.0, (share - 1 / 256) / (1 - 1 / 256)) if a and other else share)
+
+
+def test_next_documents(spark):
+    """Order by (id, text) with null, least, repeated and tied ids, over many ranges."""
+    from skygrid.llm.fingerprint import with_next
+
+    rng = random.Random(6)
+    ids = [None, None, -(1 << 63), 3, 3, 3] + [rng.randrange(-50, 50) for _ in range(60)]
+    rows = [(i, f"t{k:02}", "x") for k, i in enumerate(ids)]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for size in (3, 1000):
+        df = spark.createDataFrame(rows, "doc_id long, text string, __p0 string").repartition(3)
+        got = {r.text: r.n.text for r in with_next(df, "doc_id", "text", ["text"], "n", rows_per_bucket=size).collect()}
+        assert got == {r[1]: want[(k + 1) % len(want)][1] for k, r in enumerate(want)}
+
+
 def shingles_raw(t):
     w = t.encode().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -318,6 +368,11 @@ def test_mixing(spark):
     again = mix_sources(docs, seed=3)
     assert again.collect() == mix_sources(docs.repartition(7), seed=3).collect()
     assert mix_sources(docs.where("false")).count() == 0
+    odd = docs.limit(40).withColumn("doc_id", F.when(F.col("doc_id") > 9, F.col("doc_id") % 3)).withColumn("__p0", F.lit("a")).withColumn("__count", F.lit("b"))
+    rows = mix_sources(odd, total=400).collect()
+    assert {(r["__p0"], r["__count"]) for r in rows} == {("a", "b")} and mix_sources(odd).columns == [*(c for c in odd.columns if c != "copy"), "copy"]
+    times = collections.Counter((r.doc_id, r.source) for r in rows)
+    assert any(i is None for i, _ in times) and all(times[i, "hot"] % 10 == 0 for i in range(3))  # rows that repeat an id draw alike
 
 
 def test_language(spark):
