@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygrid.llm.common import small_batches
+from skygrid.llm.common import cut, small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math canvas object select noframes xmp".split())
@@ -337,40 +337,42 @@ def site_templates(pages: DataFrame, *, min_pages: int = 5) -> DataFrame:
 
     ``pages`` has page_id, url and html.  Pages of one host with the same body count once, so copies of a page are no template.
     """
-    seen = _subtrees(_keyed(pages)).select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    return seen.where(F.col("n") >= min_pages).select("host", "hash")
+    return _templates(_subtrees(_keyed(pages)), min_pages)
+
+
+def _templates(seen: DataFrame, min_pages: int) -> DataFrame:
+    counts = seen.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= min_pages).select("host", "hash")
 
 
 def extract(pages: DataFrame, *, min_pages: int = 5, max_shared: int = 100_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
     Null or empty html gives an empty text, a null url belongs to the host without a name.  Rows that repeat an id are taken each
-    for itself; other columns are not looked at.  Templates go to all tasks while they are at most ``max_shared`` hashes;
-    beyond that subtrees are joined with them, and pages with those of their own subtrees that are template.
+    for itself; other columns are not looked at; an empty table gives no rows.  Pages are parsed once for their subtrees and once
+    for their text.  Templates go to all tasks while they are at most ``max_shared`` hashes; beyond that a page is joined with
+    those of its own subtrees that are template.
     """
     spark = pages.sparkSession
-    templates = site_templates(pages, min_pages=min_pages)
     keyed = _keyed(pages)
+    seen = _subtrees(keyed)
+    templates = cut(_templates(seen, min_pages))
     own = keyed.drop("a", "b")
-    rows = templates.limit(max_shared + 1).collect()
-    by_host: dict[str, set[int]] | None = None
-    if len(rows) <= max_shared:
-        by_host = {}
-        for r in rows:
-            by_host.setdefault(r["host"], set()).add(r["hash"])
-        shared = spark.sparkContext.broadcast({k: frozenset(v) for k, v in by_host.items()})
-    else:
-        from skygrid.llm.common import cut
-
-        found = _subtrees(keyed).join(cut(templates), ["host", "hash"])
-        lists = found.groupBy("host", "a", "b").agg(F.collect_set("hash").alias("hashes"))
+    by_host: dict[str, set[int]] = {}
+    joins = templates.limit(max_shared + 1).count() > max_shared
+    if joins:
+        lists = seen.join(templates, ["host", "hash"]).groupBy("host", "a", "b").agg(F.collect_set("hash").alias("hashes"))
         own = keyed.join(lists, ["host", "a", "b"], "left").select("page_id", "url", "host", "html", "hashes")
+    else:
+        for r in templates.collect():  # max_shared rows at most
+            by_host.setdefault(r["host"], set()).add(r["hash"])
+    shared = spark.sparkContext.broadcast({k: frozenset(v) for k, v in by_host.items()})
     small_batches(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, htmls = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            if batch.num_columns > 4:
+            if joins:
                 sets = [frozenset(x or ()) for x in batch.column(4).to_pylist()]
             else:
                 sets = [shared.value.get(h, frozenset()) for h in hosts]

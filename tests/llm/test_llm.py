@@ -602,6 +602,30 @@ def test_html_templates_of_large_hosts(spark):
         assert {r.page_id: r.text for r in html_extract.extract(pages, max_shared=most).collect()} == want
 
 
+def test_html_templates_without_telling_marks(spark):
+    """Pages that say nothing about their parts: templates alone tell them, against a counter on the strings the pages were made of."""
+    rng = random.Random(7)
+    boxes = {h: [f"<div><p>{h} box {k}</p><ul><li>Home {k}<li>More</ul></div>" for k in range(6)] for h in ("h1", "h2", "h3")}
+    rows, parts = [], []
+    for i in range(90):
+        host = rng.choice(list(boxes))
+        own = [f"<div><p>Story {i} {k} {rng.random()}</p></div>" for k in range(3)] + rng.sample(boxes[host], rng.choice([0, 1, 2]))
+        rng.shuffle(own)
+        parts.append((host, own))
+        rows.append((i, f"https://{host}/p{i}", f"<html><body class=page>{''.join(own)}</body></html>"))
+    count = collections.Counter((h, x) for h, own in parts for x in set(own))
+    plain = lambda x: [y for y in (z.split("<")[0] for z in x.split(">")) if y]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("a", F.lit(1))
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    for i, (h, own) in enumerate(parts):
+        assert got[i] == "\n\n".join(y for x in own if count[h, x] < 5 for y in plain(x))
+    assert any(count[h, x] >= 5 for h, own in parts for x in own)
+    empty = pages.where("false")
+    assert html_extract.extract(empty).count() == 0 and html_extract.site_templates(empty).count() == 0
+    named = spark.createDataFrame([("p", "https://h1/", rows[0][2])], "page_id string, url string, html string")
+    assert html_extract.extract(named).first().page_id == "p"
+
+
 @pytest.mark.parametrize("quote", ["'", '"'])
 def test_html_of_long_attributes(quote):
     for n in (10, 5000, 300_000):
