@@ -31,6 +31,20 @@ def image_id_of(file_name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(file_name, r"^(OM_[0-9]{3})", 1), F.lit("")), F.regexp_replace(file_name, r"\.[^.]*$", ""))
 
 
+def tile_path(om_id: Column, file_name: Column) -> Column:
+    """A tile's name inside a merged data set."""
+    return F.concat_ws("/", om_id, F.lit("tiles"), file_name)
+
+
+def present(separator: str, *values: Column) -> Column:
+    """The values that are neither null nor empty, joined."""
+    return F.concat_ws(separator, *[F.nullif(v, F.lit("")) for v in values])
+
+
+def date_stamp(day: Column, pattern: str = "MMddyyyy") -> Column:
+    return F.date_format(day, pattern)
+
+
 def first_folder(om: Column, file_name: Column) -> Column:
     return F.coalesce(F.nullif(om, F.lit("")), F.split_part(file_name, F.lit("/"), F.lit(1)))
 
@@ -83,8 +97,8 @@ def lr_at(epoch: Column, epochs: int, warmup: int, rate: float) -> Column:
 
 
 def portable_key(id_: Column, iteration: Column) -> Column:
-    """A pseudo-random order that other engines can repeat; ties go by id."""
-    a = (id_ * 1103515 + iteration * 104729 + 12345) % 2147483647
+    """A pseudo-random order that other engines can repeat, of ids of any size; ties go by id."""
+    a = (id_ % 2147483647 * 1103515 + iteration * 104729 + 12345) % 2147483647
     return ((a * a) % 2147483647 * 48271 + iteration * 69621) % 2147483647
 
 

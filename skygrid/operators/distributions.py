@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def dataset_summary(tiles: DataFrame, pieces: DataFrame) -> DataFrame:
         "tiles",
         "tiles_with",
         (F.col("tiles") - F.col("tiles_with")).alias("tiles_without"),
-        F.round(F.when(F.col("tiles") > 0, F.col("tiles_with") * 100.0 / F.col("tiles")).otherwise(0.0), 9).alias("pct_with"),
+        F.round(guarded_percent(F.col("tiles_with"), F.col("tiles")), 9).alias("pct_with"),
         "orthomosaics",
         F.when(F.col("orthomosaics") > 0, F.expr("tiles div orthomosaics")).otherwise(F.lit(0)).cast("long").alias("tiles_per_orthomosaic"),
         "annotations",
@@ -101,5 +103,35 @@ def count_extremes(freq: DataFrame) -> DataFrame:
     )
 
 
+def violin(tiles: DataFrame, by: str = "split", points: int = 100) -> DataFrame:
+    """(by, x, density, median, least, largest) of non-empty tiles (c): a Gaussian kernel estimate at ``points`` places from least to largest c.
+
+    The bandwidth is the standard deviation times n ** -0.2 (Scott); a group without spread has a null density.  Work is the number of
+    different counts times the points, not the number of tiles.
+    """
+    own = tiles.where("c > 0")
+    ends = own.groupBy(by).agg(F.count("*").alias("n"), F.stddev_samp("c").alias("s"), F.percentile("c", 0.5).alias("median"), F.min("c").alias("least"), F.max("c").alias("largest"))
+    ends = ends.withColumn("h", F.nullif(F.col("s") * F.pow("n", F.lit(-0.2)), F.lit(0.0)))
+    place = F.col("least") + F.col("k") * (F.col("largest") - F.col("least")) / (points - 1)
+    grid = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", place)
+    rows = own.groupBy(by, "c").agg(F.count("*").alias("m")).join(grid, by)
+    kernel = F.exp(-F.pow((F.col("x") - F.col("c")) / F.col("h"), F.lit(2.0)) / 2) / (F.col("h") * math.sqrt(2 * math.pi))
+    out = rows.groupBy(by, "k", "x", "n", "median", "least", "largest").agg(F.sum(F.col("m") * kernel).alias("total"))
+    return out.select(by, "x", (F.col("total") / F.col("n")).alias("density"), "median", "least", "largest")
+
+
+def stacked(counts: DataFrame, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """(species, split, n, base) of counts (species and a column per split): where each part of a stacked bar begins."""
+    parts = F.posexplode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("n")) for s in splits])).alias("at", "p")
+    before = F.sum("n").over(Window.partitionBy("species").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = counts.select("species", parts).select("species", "at", "p.*")
+    return rows.select("species", "split", "n", F.coalesce(before, F.lit(0)).alias("base"))
+
+
+def split_map(tiles: DataFrame, size: int) -> DataFrame:
+    """(om, column, row, split): the grid cell of each tile (om, tile_x, tile_y, split)."""
+    return tiles.select("om", F.expr(f"tile_x div {size}").alias("column"), F.expr(f"tile_y div {size}").alias("row"), "split")
+
+
 def guarded_percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * 100.0 / whole).otherwise(0.0)

@@ -40,7 +40,7 @@ BASE_512 = f"WITH {DET}, tiles AS ({_tiles(512)}), pieces AS ({_pieces(512)})"
 
 
 def _key(i: str, it: str) -> str:
-    a = f"(({i} * 1103515 + {it} * 104729 + 12345) % 2147483647)"
+    a = f"(({i} % 2147483647 * 1103515 + {it} * 104729 + 12345) % 2147483647)"
     return f"((({a} * {a}) % 2147483647 * 48271 + {it} * 69621) % 2147483647)"
 
 

@@ -19,6 +19,18 @@ CATALOG = "crop_path string, species_name string, source_tile string, orthomosai
 SIDE = 10_000
 
 
+def existing(spark: SparkSession, *paths: str) -> list[str]:
+    """The files that the paths and globs name, by name; FileNotFoundError tells the first that names none."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(conf).globStatus(where)
+        if not found:
+            raise FileNotFoundError(path)
+        out += sorted(f.getPath().toString() for f in found)
+    return out
+
+
 def read_json(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """One row per file, with its path."""
     return spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
@@ -32,16 +44,31 @@ def read_master(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return last.select("i.file_name", width.alias("width"), height.alias("height"), F.coalesce("i.detections", F.array().cast(f"array<{DETECTION}>")).alias("detections"))
 
 
-def read_image_annotations(spark: SparkSession, path: str | list[str], target: str | None = None) -> DataFrame:
+def read_image_annotations(spark: SparkSession, path: str | list[str], target: str | None = None, lenient: bool = False) -> DataFrame:
     """(file, detections) of documents in either form: ``annotations`` of one image, or the first of ``images`` named ``target``.
 
-    A document with neither key is an error; a target that isn't there gives no detections.
+    A document with neither key is an error, or gives no detections if ``lenient``; so does a target that isn't there.
     """
     rows = read_json(spark, path, EITHER)
     first = F.get(F.filter("images", lambda i: i["file_name"] == F.lit(target)), F.lit(0))["detections"]
     empty = F.array().cast(f"array<{DETECTION}>")
     found = F.when(F.col("annotations").isNotNull(), F.col("annotations")).when(F.col("images").isNotNull(), F.coalesce(first, empty))
-    return rows.select("file", found.otherwise(F.raise_error(F.lit("neither annotations nor images"))).alias("detections"))
+    return rows.select("file", found.otherwise(empty if lenient else F.raise_error(F.lit("neither annotations nor images"))).alias("detections"))
+
+
+def read_om_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    """(om_id, detections) of a folder's files OM_NNN_annotations.json, the key from the file's name; none for a document without any."""
+    rows = read_image_annotations(spark, existing(spark, f"{folder}/OM_*_annotations.json"), lenient=True)
+    name = F.element_at(F.split("file", "/"), -1)
+    return rows.select(F.regexp_replace(name, "_annotations[.]json$", "").alias("om_id"), "detections")
+
+
+def match_annotations(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images (file_name) with the detections of their id (om_id, detections), and one row with the number of those that have none."""
+    from skygrid.functions.names import image_id_of
+
+    own = images.withColumn("om_id", image_id_of(F.col("file_name")))
+    return own.join(annotations, "om_id"), own.join(annotations, "om_id", "left_anti").agg(F.count("*").alias("failed"))
 
 
 def boxes(detections: DataFrame, key: str = "om", default: str = "UNKNOWN") -> DataFrame:
@@ -67,6 +94,33 @@ def read_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+METADATA = (
+    "seed int, iterations int, best_score double, score_details struct<distribution_score:double,missing_penalty:double,imbalance_penalty:double>, "
+    "split_sizes struct<train_tiles:bigint,val_tiles:bigint,test_tiles:bigint,train_annotations:bigint,val_annotations:bigint,test_annotations:bigint>, "
+    "missing_species struct<val:array<string>,test:array<string>>, train_image_ids array<bigint>, val_image_ids array<bigint>, test_image_ids array<bigint>"
+)
+
+
+def read_split_bundle(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Images, annotations and categories of the three splits of a folder, with split, and its one row of metadata."""
+    files = {s: existing(spark, f"{folder}/{s}_annotations.json")[0] for s in ("train", "val", "test")}
+    tables: list[DataFrame | None] = [None, None, None]
+    for split, path in files.items():
+        for k, df in enumerate(read_coco(spark, path)):
+            own = df.withColumn("split", F.lit(split))
+            tables[k] = own if tables[k] is None else tables[k].unionByName(own)
+    return tables[0], tables[1], tables[2], read_json(spark, existing(spark, f"{folder}/split_metadata.json"), METADATA).drop("file")
+
+
+def read_split_config(spark: SparkSession, label_mapping: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """The label map, the class list and the catalogues train.csv, val.csv and test.csv, which must lie beside it."""
+    folder = label_mapping.rsplit("/", 1)[0]
+    existing(spark, label_mapping, *(f"{folder}/{s}.csv" for s in ("train", "val", "test")))
+    mapping = read_label_map(spark, label_mapping)
+    rows = {s: read_catalog(spark, f"{folder}/{s}.csv", ", remapped_label string") for s in ("train", "val", "test")}
+    return mapping, class_list(mapping), rows
+
+
 def read_catalog(spark: SparkSession, path: str | list[str], extra: str = "") -> DataFrame:
     """A crop catalogue; ``extra`` columns, as ", remapped_label string", follow its own."""
     return spark.read.schema(CATALOG + extra).option("header", True).option("escape", '"').csv(path)
