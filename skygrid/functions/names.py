@@ -103,5 +103,10 @@ def portable_key(id_: Column, iteration: Column) -> Column:
 
 
 def hashed_key(id_: Column, iteration: Column, seed: int = 42) -> Column:
-    """The library's own pseudo-random order."""
-    return F.xxhash64(F.lit(seed), iteration, id_)
+    """The library's own pseudo-random order, below 2**31 as the portable one."""
+    return F.pmod(F.xxhash64(F.lit(seed), iteration, id_), F.lit(2147483647))
+
+
+def key_block(key: Column) -> Column:
+    """One of 128 ranges of such keys, by which rows are numbered in parallel."""
+    return F.shiftright(key, 24)

@@ -6,12 +6,13 @@ cells touched, wherever boxes cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygrid.operators.ids import category_ids
+from skygrid.operators.ids import category_ids, two_level_ids
 
 MIN_AREA = 4.0
+PIECE = "om tile_id tile_x tile_y det_idx species category_id x y w h area is_clipped annotation_id".split()
 
 
 def _cells(low: Column, high: Column, size: int, n: Column) -> Column:
@@ -66,8 +67,8 @@ def tile_join(boxes: DataFrame, images: DataFrame, size: int, min_area: float =
         (w * h).alias("area"),
         clipped.alias("is_clipped"),
     )
-    order = Window.partitionBy("om").orderBy("tile_id", "det_idx")
-    return rows.join(cats, ["om", "species"], "left").withColumn("category_id", F.coalesce("category_id", F.lit(0).cast("long"))).withColumn("annotation_id", F.row_number().over(order).cast("long"))
+    rows = rows.join(cats, ["om", "species"], "left").withColumn("category_id", F.coalesce("category_id", F.lit(0).cast("long")))
+    return two_level_ids(rows, "tile_id", ["det_idx"], "annotation_id", ["om"]).select(*PIECE)
 
 
 def tiling_stats(images: DataFrame, pieces: DataFrame, size: int) -> DataFrame:

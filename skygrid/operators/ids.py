@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,21 @@ def category_ids(rows: DataFrame, by: str | None = None, name: str = "species")
     return rows.select(*keys, name).where(F.col(name).isNotNull()).distinct().withColumn("category_id", F.row_number().over(w).cast("long"))
 
 
-def two_level_ids(rows: DataFrame, block: str, order: list[str], out: str, group: list[str] | None = None) -> DataFrame:
-    """Number rows from 1 by (block, order), in each ``group``, without a global window: place in the block plus the sizes of blocks before."""
+def two_level_ids(rows: DataFrame, block: str, order: list[str | Column], out: str, group: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Number rows from 1 by (block, order), in each ``group``, without a global window: place in the block plus the sizes of blocks before.
+
+    ``total`` names a column for the size of the group.  Sizes are taken after the shuffle that numbers the blocks, so ``rows`` is worked
+    out once; only a row per block is gathered for a group.
+    """
     group = group or []
-    sizes = rows.groupBy(*group, block).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("__before", before).drop("__n")
     within = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*group, block).orderBy(*order)))
-    return within.join(offsets, [*group, block]).withColumn(out, (F.col("__at") + F.col("__before")).cast("long")).drop("__at", "__before")
+    sizes = within.groupBy(*group, block).agg(F.max("__at").alias("__n"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__n").over(whole.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumns({"__before": before, "__all": F.sum("__n").over(whole)}).drop("__n")
+    own = within.join(offsets, [*group, block]).withColumn(out, (F.col("__at") + F.col("__before")).cast("long"))
+    own = own.withColumn(total, F.col("__all")) if total else own
+    return own.drop("__at", "__before", "__all")
 
 
 def merge_bundles(images: DataFrame, annotations: DataFrame, categories: DataFrame, default: str = "UNKNOWN") -> DataFrame:

@@ -51,8 +51,17 @@ def average_precision(pred: DataFrame, classes: int) -> DataFrame:
     """(class_id, ap), one against the rest; tied scores enter together; a class without positives has 0."""
     long = pred.select("y_true", F.posexplode(F.slice("scores", 1, classes)).alias("class_id", "score"))
     per = long.groupBy("class_id", "score").agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == F.col("class_id")).alias("tp"))
-    w = Window.partitionBy("class_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumn("precision", F.sum("tp").over(w) / F.sum("n").over(w))
+    # Running sums in two levels: within ranges of scores, and over the ranges before, so no class is one task.
+    ends = per.agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    block = F.coalesce(F.floor((F.col("high") - F.col("score")) / span * 255), F.lit(0))
+    per = per.join(F.broadcast(ends)).select("class_id", "score", "n", "tp", block.alias("block"))  # one row
+    inside = Window.partitionBy("class_id", "block").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("class_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = per.groupBy("class_id", "block").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+    sums = sums.select("class_id", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "tp")])
+    run = per.withColumns({c: F.sum(c[4:]).over(inside) for c in ("run_n", "run_tp")}).join(sums, ["class_id", "block"])
+    run = run.withColumn("precision", (F.col("run_tp") + F.col("tp_before")) / (F.col("run_n") + F.col("n_before")))
     return run.groupBy("class_id").agg(F.round(F.coalesce(F.sum(F.col("tp") * F.col("precision")) / F.nullif(F.sum("tp"), F.lit(0)), F.lit(0.0)), 9).alias("ap"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skygrid.functions.names import hashed_key
+from skygrid.functions.names import hashed_key, key_block
 from skygrid.operators.ids import two_level_ids
 
 SPLITS = ("train", "val", "test")
@@ -22,15 +22,16 @@ def _cut(rank: Column, n: Column) -> Column:
 def random_splits(tiles: DataFrame, iterations: DataFrame, key: Callable[[Column, Column], Column] = hashed_key, id_col: str = "image_id") -> DataFrame:
     """(iteration, image_id, split): for each row of ``iterations`` a seeded order of the tiles, cut at 80 and 90 percent."""
     rows = tiles.select(id_col).join(F.broadcast(iterations))  # the search's parameter: a row per iteration
-    w = Window.partitionBy("iteration")
-    rank = F.row_number().over(w.orderBy(key(F.col(id_col), F.col("iteration")), id_col))
-    return rows.select("iteration", id_col, _cut(rank, F.count("*").over(w)).alias("split"))
+    rows = rows.withColumn("__key", key(F.col(id_col), F.col("iteration"))).withColumn("__block", key_block(F.col("__key")))
+    rows = two_level_ids(rows, "__block", ["__key", id_col], "__rank", ["iteration"], "__size")
+    return rows.select("iteration", id_col, _cut(F.col("__rank"), F.col("__size")).alias("split"))
 
 
 def stratified_split(rows: DataFrame, label: str, key: Column) -> DataFrame:
-    """``rows`` with split, cut within each label."""
-    w = Window.partitionBy(label)
-    return rows.withColumn("split", _cut(F.row_number().over(w.orderBy(key)), F.count("*").over(w)))
+    """``rows`` with split, cut within each label in the order of ``key``, below 2**31; null labels are a label."""
+    own = rows.withColumn("__key", key).withColumn("__block", key_block(F.col("__key"))).withColumn("__label", F.struct(F.col(label)))
+    own = two_level_ids(own, "__block", ["__key"], "__rank", ["__label"], "__size")
+    return own.select(*rows.columns, _cut(F.col("__rank"), F.col("__size")).alias("split"))
 
 
 def split_counts(assigned: DataFrame, tile_species: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygrid.operators.grid import tile_grid, tile_join
+from skygrid.operators.ids import two_level_ids
 
 IMAGES, SIDE, TILE = 24, 10_000, 500
 PER_IMAGE = (SIDE // TILE) ** 2
@@ -26,8 +27,8 @@ def detections(spark: SparkSession, sf_dir: str, long_tail: bool = False) -> Dat
     own = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
     rare = F.when((F.col("l_orderkey") * 31 + F.col("l_partkey")) % 4001 < 2, F.concat(F.lit("RARE_"), (F.col("l_partkey") % 5).cast("string"))).otherwise(F.col("p_brand"))
     own = own.withColumn("om", F.col("l_suppkey") % 24 + 1)
-    order = Window.partitionBy("om").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    own = own.withColumn("det_idx", F.row_number().over(order).cast("long"))
+    own = own.withColumn("block", F.expr("l_orderkey div 4096"))
+    own = two_level_ids(own, "block", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "det_idx", ["om"])
     x = ((F.col("l_partkey") * 7919 + F.col("l_orderkey") * 31) % 10000).cast("double")
     y = ((F.col("l_orderkey") * 104729 + F.col("l_linenumber") * 577) % 10000).cast("double")
     return own.select(

@@ -95,10 +95,10 @@ def _cap(source: str, k: int) -> str:
     return f"SELECT row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_K0}, row_id) AS r FROM {source} WHERE label IS NOT NULL) WHERE r <= {k}"
 
 
-def _window(pad: str) -> str:
+def _window(pad: str, name: str) -> str:
     cl = "least(greatest(CAST(trunc({}) AS INTEGER), 0), 500)"
     return ", ".join(
-        cl.format(e) + f" AS {n}"
+        cl.format(e) + f" AS {name}_{n}"
         for e, n in ((f"x - w * {pad}", "x1"), (f"y - h * {pad}", "y1"), (f"x + w + w * {pad}", "x2"), (f"y + h + h * {pad}", "y2"))
     )
 
@@ -164,11 +164,10 @@ ORACLE_SQL: dict[str, str] = {
       '[' || x || ', ' || y || ', ' || w || ', ' || h || ']' AS bbox_coco, annotation_id FROM pieces JOIN kept USING (image_id)""",
     "q_crop_skipped": f"{BASE}, {_CROP} SELECT om, count(*) AS skipped FROM pieces WHERE tile_id % 97 = 0 GROUP BY om",
     "q_crop_filter": f"{BASE} SELECT om, annotation_id, species FROM pieces WHERE species IN ('Brand#11', 'Brand#23')",
-    "q_crop_window": f"""{BASE}, a AS (SELECT om, annotation_id, {_window("0.25::DOUBLE")} FROM pieces), b AS (SELECT om, annotation_id, {_window("0.0::DOUBLE")} FROM pieces)
-      SELECT a.om, a.annotation_id, """
-    + ", ".join(f"CASE WHEN a.x2 > a.x1 AND a.y2 > a.y1 THEN a.{c} WHEN b.x2 > b.x1 AND b.y2 > b.y1 THEN b.{c} ELSE 0 END AS {c}" for c in ("x1", "y1", "x2", "y2"))
-    + ", NOT (a.x2 > a.x1 AND a.y2 > a.y1) AND NOT (b.x2 > b.x1 AND b.y2 > b.y1) AS black"
-    + " FROM a JOIN b ON a.om = b.om AND a.annotation_id = b.annotation_id",
+    "q_crop_window": f"""{BASE}, a AS (SELECT om, annotation_id, {_window("0.25::DOUBLE", "a")}, {_window("0.0::DOUBLE", "b")} FROM pieces)
+      SELECT om, annotation_id, """
+    + ", ".join(f"CASE WHEN a_x2 > a_x1 AND a_y2 > a_y1 THEN a_{c} WHEN b_x2 > b_x1 AND b_y2 > b_y1 THEN b_{c} ELSE 0 END AS {c}" for c in ("x1", "y1", "x2", "y2"))
+    + ", NOT (a_x2 > a_x1 AND a_y2 > a_y1) AND NOT (b_x2 > b_x1 AND b_y2 > b_y1) AS black FROM a",
     "q_label_remap": f"WITH {DET} SELECT 'CLASS_' || species[7] AS label, count(*) AS n, count(DISTINCT species) AS species FROM det WHERE species <> 'Brand#25' GROUP BY ALL",
     "q_label_index": f"""WITH {_ROWS}, idx AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS class_id FROM (SELECT DISTINCT label FROM rows_ WHERE row_id % 10 < 8 AND label IS NOT NULL))
       SELECT label, class_id, count(*) AS n FROM rows_ JOIN idx USING (label) GROUP BY ALL""",
@@ -177,6 +176,11 @@ ORACLE_SQL: dict[str, str] = {
     "q_loader_pipeline": f"WITH {_ROWS}, {_merge(40)}, {_merge(8)} SELECT *, 'train' AS split FROM ({_cap('m2_40', 40)}) UNION ALL SELECT *, 'val' FROM ({_cap('m2_8', 8)})",
     "q_class_weights": f"WITH {_ROWS}, c AS (SELECT label, count(*) AS n FROM rows_ WHERE label IS NOT NULL GROUP BY label) SELECT label, n, round((1.0::DOUBLE / n) / avg(1.0::DOUBLE / n) OVER (), 9) AS weight FROM c",
     "q_sampler_weights": f"WITH {_ROWS} SELECT row_id, label, round(1.0::DOUBLE / pow(CAST(count(*) OVER (PARTITION BY label) AS DOUBLE), 0.5), 9) AS weight FROM rows_ WHERE label IS NOT NULL",
+    "q_weighted_sample": f"""WITH {_ROWS}, w AS (SELECT row_id, label, round(1.0::DOUBLE / pow(CAST(count(*) OVER (PARTITION BY label) AS DOUBLE), 0.5), 9) AS weight FROM rows_ WHERE label IS NOT NULL),
+      u AS (SELECT *, CAST(greatest(round(weight * 1000000000), 1) AS HUGEINT) AS u, row_id % (SELECT count(*) // 100000 + 1 FROM w) AS b FROM w WHERE weight > 0),
+      i AS (SELECT *, sum(u) OVER (ORDER BY b, row_id) AS hi FROM u),
+      d AS (SELECT draw, (CAST({_key('draw', '42')} AS HUGEINT) * 2147483647 + {_key('draw', '43')}) * (SELECT sum(u) FROM u) // (CAST(2147483647 AS HUGEINT) * 2147483647) AS place FROM range(500) t(draw))
+      SELECT draw, row_id, label, weight FROM d JOIN i ON place >= hi - u AND place < hi""",
     "q_split_composition": f"WITH {_ROWS}, {_STRAT} SELECT label, "
     + ", ".join(f"count(*) FILTER (WHERE split = '{s}' AND (row_id % 3 <> 0 OR split = 'train')) AS {s}" for s in ("train", "val", "test"))
     + " FROM strat GROUP BY label",
