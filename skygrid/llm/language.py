@@ -248,8 +248,10 @@ def fit(docs: DataFrame, *, max_docs: int = 3000, crops: int = 6) -> Model:
     """
     small_batches(docs.sparkSession)
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    first = own.select("lang", "doc_id").withColumn("turn", turn).where(F.col("turn") <= max_docs)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salted = Window.partitionBy("lang", F.pmod(F.hash("doc_id"), F.lit(64))).orderBy(*order)  # a language may hold most rows
+    first = own.select("lang", "doc_id").withColumn("turn", F.row_number().over(salted)).where(F.col("turn") <= max_docs)
+    first = first.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("turn") <= max_docs)
     wanted = first.orderBy("turn", F.xxhash64("doc_id"), "doc_id", "lang").limit(max_docs).select("doc_id", "lang").distinct()
     rows = own.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")  # max_docs ids
 
