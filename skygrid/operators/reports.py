@@ -76,7 +76,7 @@ def split_report(shares: DataFrame, score: dict[str, float], tiles: dict[str, in
     out += ["", "MISSING SPECIES", "-" * 40]
     missing = {r["species"]: r for r in missing_species(shares).collect()}
     for s in ("val", "test"):
-        names = [r["species"] for r in rows if r["species"] in missing and missing[r["species"]][f"missing_{s}"]]
+        names = sorted(k for k, r in missing.items() if r[f"missing_{s}"])
         known = {r["species"]: r["total"] for r in rows}
         out += [f"Missing in {s} ({len(names)}):", *(f"  - {k} (global count: {known[k]})" for k in names)] if names else [f"Missing in {s}: None"]
     out += ["", "TOP 10 MOST IMBALANCED SPECIES", "-" * 40]
@@ -97,8 +97,7 @@ def split_metadata(assigned: DataFrame, shares: DataFrame, score: dict[str, floa
     sums = shares.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SPLITS]).first()
     tiles = {r["split"]: r["count"] for r in assigned.groupBy("split").count().collect()}  # three rows
     missing = missing_species(shares).collect()
-    rank = {r["species"]: r["rank"] for r in shares.select("species", "rank").collect()}  # a row per species
-    names = lambda s: sorted((r["species"] for r in missing if r[f"missing_{s}"]), key=rank.get)
+    names = lambda s: sorted(r["species"] for r in missing if r[f"missing_{s}"])
     sizes = {f"{s}_tiles": tiles.get(s, 0) for s in SPLITS} | {f"{s}_annotations": sums[s] for s in SPLITS}
     head = {
         "seed": seed,
