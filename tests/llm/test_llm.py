@@ -269,11 +269,32 @@ def test_top_k(spark):
         want = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:7]
         own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         assert [(r.rank, r.vec_id, r.score) for r in own] == [(k + 1, i, s[i]) for k, i in enumerate(want)]
+    again = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"), F.col("vec_id") % 20 == 0, k=7, slab=7, block=3, head=1).collect()
+    assert sorted(again) == sorted(got)
     big = spark.createDataFrame([(0, [1e30]), (20, [1e30, 5.0]), (1, []), (2, [1.0])], "vec_id long, embedding array<float>")
     assert exact_top_k(big, F.col("vec_id") == 0).count() == 3
     assert exact_top_k(big.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_ties_and_repeats(spark):
+    """Tied scores go by id; a repeated query asks once, with its smallest vector; repeated rows are candidates each."""
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 5.0]), (1, [1.0, 5.0]), (3, [1.0, 7.0]), (2, [1.0, -7.0]), (4, [0.5, 1.0])]
+    got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4, slab=2).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1 << 20), (1, 1 << 20), (2, 1 << 20), (3, 1 << 20)]
+
+
+def test_cells_bound_products():
+    from skygrid.llm.topk import Grid
+
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.integers(-5000, 5000, (200, 7)), rng.integers(-(2**62), 2**62, (20, 7))]
+    grid = Grid(x.min(axis=0).tolist(), x.max(axis=0).tolist())
+    left, right = grid.edges(grid.cells(x))
+    below, above = grid.bounds(left, right, x[:30])
+    exact = x[:30].astype(object) @ x.T.astype(object)
+    assert all(below[i, j] <= exact[i, j] <= above[i, j] for i in range(30) for j in range(len(x)))
+
+
 def test_top_k_of_large_components(spark):
     rows = [(0, [1.0, 1.0]), (1, [2e9, 0.0]), (2, [3e9, 0.0]), (3, [-4e12, 1.0]), (4, [4e12, 1.0]), (5, [4e12, 1.0009765625]), (6, [1e300, 0.0]), (7, [-1e300, 0.0])]
     got = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=10).collect()
