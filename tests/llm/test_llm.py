@@ -670,22 +670,95 @@ def test_html_wrappers_with_marks(wrapper, tag):
     assert html_extract.main_text(f"<body><article>{body}</article><div hidden class=sidebar><main>No</main></div>") == inside
 
 
+def plain_lines(rows):
+    """Line dedup of (id, text) rows in plain Python; a null id is one document, smaller than any."""
+    key = lambda t: t.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    hold = collections.defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            hold[key(x)].add(-1 if i is None else i)
+    goes = lambda i, x: len(key(x)) >= 20 and len(hold[key(x)]) >= 3 and max(hold[key(x)]) != (-1 if i is None else i)
+    return [(i, "\n".join(x for x in (t or "").split("\n") if not goes(i, x))) for i, t in rows]
+
+
+def plain_near(rows):
+    """The (id, text) rows that near-dedup keeps: the least id of each group, one of equal rows."""
+    ids = sorted({i for i, _ in rows if i is not None})
+    sets = [(i, shingles(t, 5)) for i, t in rows]
+    root = {i: i for i in ids}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations([x for x in sets if x[0] is not None and x[1]], 2):
+        both = len(a & b)
+        if 100 * both >= 80 * (len(a) + len(b) - both) and top(i) != top(j):
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    return sorted({(i, t) for i, t in rows if i is None or top(i) == i}, key=repr)
+
+
+def plain_copies(rows, temperature=0.7, seed=17):
+    """How often mixing repeats each (id, source) row."""
+    sizes = collections.Counter(s for _, s in rows)
+    total = sum(n**temperature for n in sizes.values())
+    out = []
+    for i, s in rows:
+        rate = len(rows) * sizes[s] ** temperature / total / sizes[s]
+        parts = max(1, int(np.ceil(rate / 16)))
+        n = 0
+        for j in range(1, parts + 1):
+            u = int(hashlib.md5(f"{seed}:{'null' if i is None else i}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = np.exp(-rate / parts)
+            k = 0
+            while c <= u:
+                k += 1
+                p *= rate / parts / k
+                c += p
+            n += k
+        out.append(n)
+    return out
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)
-    texts = near_texts()[:40] + [" ".join(rng.choice(["buy", "now"]) + "!!" for _ in range(40)) for _ in range(20)] + [None, ""]
-    docs = documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    line = "A line that several documents share"
+    texts = near_texts()[:40] + [" ".join(rng.choice(["buy", "now"]) + "!!" for _ in range(40)) for _ in range(20)] + [None, "", line, f"{line}\nown", f"{line.upper()}\nother words"]
+    ids = [*range(len(texts)), 7, 7, None, None]
+    texts += [texts[7], "another text of seven with some words", "no id", "no id"]
+    rows = [(i, t, "en", f"s{k % 3}" if k % 11 else None, len(t or "")) for k, (i, t) in enumerate(zip(ids, texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).withColumn("__p0", F.lit("clash")).withColumn("__n", F.lit(1))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i < 40), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    empty = docs.where("false")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs
         out = stage(spark, docs, str(tmp_path))
+        before = [(r.doc_id, r.text) for r in docs.collect()]
         if name != "packing":
             assert out.columns == docs.columns
+            assert {r["__p0"] for r in out.collect()} == {"clash"}
         out.write.parquet(str(tmp_path / f"{k}"))
-        docs = spark.read.parquet(str(tmp_path / f"{k}"))
-        if name == "near_dedup":
-            kept = {r.doc_id for r in docs.collect()}
-            want = {r.doc_id for r in near_duplicates(before, words=5, percent=80).collect() if r.kept}
-            assert kept == want
-    assert docs.count() > 0
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        found = spark.read.parquet(str(tmp_path / f"{k}"))
+        after = sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) if name != "packing" else []
+        if name == "quality":
+            assert set(after) <= set(before) and {i for i, _ in after if i is not None and i < 40} >= set(range(7, 40)) and not {i for i, _ in after if i is not None} & set(range(40, 60))
+        elif name == "line_dedup":
+            assert after == sorted(plain_lines(before), key=repr)
+            assert all(r.n_chars == len(r.text) for r in found.collect())
+        elif name == "near_dedup":
+            assert after == plain_near(before)
+        elif name == "mixing":
+            own = docs.collect()
+            want = collections.Counter()
+            for r, n in zip(own, plain_copies([(r.doc_id, r.source) for r in own])):
+                want[r.doc_id, r.text] += n
+            assert collections.Counter(after) == +want
+        else:
+            sizes = collections.Counter()
+            for r in found.collect():
+                sizes[r.doc_id] += r.length
+            assert set(sizes) == {i for i, _ in before}
+        docs = found
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
