@@ -58,10 +58,9 @@ def proportions(counts: DataFrame, n: str = "n", by: list[str] | None = None) ->
 
 
 def medians(counts: DataFrame, n: str = "n") -> DataFrame:
-    """One row: interpolated, upper and lower median of a small table of counts."""
-    values = F.array_sort(F.collect_list(n))
-    out = counts.agg(F.percentile(n, 0.5).alias("median"), values.alias("v"), F.expr(f"percentile_disc(0.5) within group (order by {n})").cast("long").alias("lower_median"))
-    return out.select("median", F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("upper_median"), "lower_median")
+    """One row: interpolated, upper and lower median of n; the upper one is the lower one of the reversed order."""
+    disc = lambda way: F.expr(f"percentile_disc(0.5) within group (order by {n} {way})").cast("long")
+    return counts.agg(F.percentile(n, 0.5).alias("median"), disc("desc").alias("upper_median"), disc("asc").alias("lower_median"))
 
 
 def tile_counts(tiles: DataFrame, pieces: DataFrame) -> DataFrame:
