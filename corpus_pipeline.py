@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skygrid.llm import quality
-from skygrid.llm.common import free_names, held_out, shared_path
+from skygrid.llm.common import delete, free_names, held_out, shared_path
 from skygrid.llm.line_dedup import dedup_lines
 from skygrid.llm.mixing import mix_sources
 from skygrid.llm.near_dedup import near_duplicates
@@ -96,10 +96,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table documents; what lies between them is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the table documents; what lies between them is written to the shared folder, and goes when the next is written."""
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if old:
+            delete(spark, old)
+        docs, old = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
