@@ -70,7 +70,7 @@ def _tile(spark: SparkSession, images: DataFrame, detections: DataFrame, out: st
     tiles = cells.select("om", F.col("tile_id").alias("id"), "file_name", F.lit(size).alias("width"), F.lit(size).alias("height"), F.col("tile_x").cast("int"), F.col("tile_y").cast("int"))
     for r in images.select("om", "om_id", "file_name", "width", "height").collect():  # a document per image
         at = F.col("om") == r["om"]
-        info = {"description": f"Seabird Detection Dataset - {r['om_id']} Tiled", "version": "1.0", "tile_size": size, "source_image": r["file_name"], "source_dimensions": f"{r['width']}x{r['height']}"}
+        info = {"description": f"Detections of {r['om_id']}, tiled", "version": "1.0", "tile_size": size, "source_image": r["file_name"], "source_dimensions": f"{r['width']}x{r['height']}"}
         own = tiles.where(at).select("id", "file_name", "width", "height", F.lit(r["om_id"]).alias("orthomosaic_id"), "tile_x", "tile_y")
         sinks.write_coco(own, coco_annotations(pieces.where(at)), categories.where(at).select(F.col("category_id").alias("id"), F.col("species").alias("name")), f"{out}/{r['om_id']}/annotations.json", info)
     return diagnostics
@@ -122,7 +122,7 @@ def merge(spark: SparkSession, folder: str, path: str, size: int = 500) -> None:
     offsets = tops.select("file", F.coalesce(F.sum("top").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row per file
     om_id = F.element_at(F.split("file", "/"), -2)
     tiles = images.join(offsets, "file").select((F.col("id") + F.col("offset")).alias("id"), N.tile_path(om_id, F.col("file_name")).alias("file_name"), "width", "height", "orthomosaic_id", "tile_x", "tile_y")
-    info = {"description": "Seabird Detection Dataset - All Orthomosaics", "version": "1.0", "tile_size": size, "num_orthomosaics": len(files)}
+    info = {"description": "Detections of all images, tiled", "version": "1.0", "tile_size": size, "num_orthomosaics": len(files)}
     marks = rows.select(F.col("global_annotation_id").alias("id"), F.col("global_image_id").alias("image_id"), F.col("global_category_id").alias("category_id"), "bbox", "area", "iscrowd")
     sinks.write_coco(tiles, marks, ids.category_ids(names.select("name"), name="name").select(F.col("category_id").alias("id"), "name"), path, info)
 
