@@ -1,6 +1,6 @@
 """Exact top-k search by inner product on a vector-approximation file.
 
-Each component is quantised into 16 cells between its least and largest value, and a vector's cells, half a byte a component, are
+Each component is quantised into 256 cells between its least and largest value, and a vector's cells, a byte a component, are
 written beside the vectors as a column of their own.  Only this file is scanned: the edges of its cells bound each product from
 both sides.  A first slab of it gives each query a threshold, the kth lower bound found there; the scan of all slabs leaves the
 candidates whose upper bound reaches it.  Exact vectors are then read in the order of the bounds, the first ``head`` of each query,
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skygrid.llm.common import cut, small_batches
 
-CELLS = 16
+CELLS = 256
 #: The least and the greatest long that are doubles.
 LEAST, MOST = -float(1 << 63), float((1 << 63) - 1024)
 EPS = 2.0**-52
@@ -66,15 +66,11 @@ class Grid:
         self.width = (self.high.view(np.uint64) - self.low.view(np.uint64)) // np.uint64(CELLS) + np.uint64(1)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        """Cells of vectors, two to a byte."""
-        cell = ((x.view(np.uint64) - self.low.view(np.uint64)) // self.width).astype(np.uint8)
-        if cell.shape[1] % 2:
-            cell = np.pad(cell, ((0, 0), (0, 1)))
-        return cell[:, ::2] | cell[:, 1::2] << 4
-
-    def edges(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the largest vector of packed cells."""
-        cell = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)[:, : len(self.low)]
+        """Cells of vectors, a byte each."""
+        return ((x.view(np.uint64) - self.low.view(np.uint64)) // self.width).astype(np.uint8)
+
+    def edges(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the largest vector of cells."""
         left = self.low.astype(float) + cell * self.width.astype(float)
         return left, np.minimum(left + (self.width.astype(float) - 1), self.high.astype(float))
 
@@ -138,7 +134,7 @@ def exact_top_k(
     def scan(candidates: pa.Table, asking: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each query its place, its id, which candidates aren't its own, and their bounds."""
         ids, packed = candidates.column("id").to_numpy(), np.frombuffer(b"".join(candidates.column("cells").to_pylist()), np.uint8)
-        left, right = grid.edges(packed.reshape(len(ids), -1) if len(ids) else np.zeros((0, -(-width // 2)), np.uint8))
+        left, right = grid.edges(packed.reshape(len(ids), -1) if len(ids) else np.zeros((0, width), np.uint8))
         query_ids, y = asking.column("query_id").to_numpy(), _matrix(asking.column("q"), width)
         for first in range(0, len(y), 64):
             below, above = grid.bounds(left, right, y[first : first + 64])
