@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SOURCE_NAME = r"^\d{8} 10k-\d+-\d+\.jpg$"
+#: An image's number as %03d prints it: three digits, or more that don't begin with 0.
+NUMBER = "[1-9][0-9]{3,}|[0-9]{3}"
 
 
 def is_source_image(name: Column) -> Column:
@@ -27,8 +29,13 @@ def image_name(index: Column, name: Column) -> Column:
 
 
 def image_id_of(file_name: Column) -> Column:
-    """OM_NNN at the beginning, otherwise the name without its last suffix."""
-    return F.coalesce(F.nullif(F.regexp_extract(file_name, r"^(OM_[0-9]{3})", 1), F.lit("")), F.regexp_replace(file_name, r"\.[^.]*$", ""))
+    """OM_NNN at the beginning, with all digits of a number above 999; otherwise the name without its last suffix."""
+    return F.coalesce(F.nullif(F.regexp_extract(file_name, f"^(OM_(?:{NUMBER}))", 1), F.lit("")), F.regexp_replace(file_name, r"\.[^.]*$", ""))
+
+
+def image_number(om_id: Column) -> Column:
+    """The number in OM_NNN, null if there is none."""
+    return F.regexp_extract(om_id, f"^OM_({NUMBER})", 1).try_cast("long")
 
 
 def tile_path(om_id: Column, file_name: Column) -> Column:

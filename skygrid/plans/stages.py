@@ -85,8 +85,7 @@ def coco_annotations(pieces: DataFrame, id_col: str = "annotation_id", image_col
 
 def _images(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = rasters.read_rasters(spark, paths).withColumn("om_id", N.image_id_of(F.col("file_name")))
-    number = F.coalesce(F.regexp_extract("om_id", r"^OM_([0-9]{3})", 1).try_cast("long"), F.lit(0).cast("long"))
-    return rows.withColumn("om", number)
+    return rows.withColumn("om", F.coalesce(N.image_number(F.col("om_id")), F.lit(0).cast("long")))
 
 
 def tile(spark: SparkSession, image: str, annotations: str, out: str, size: int = 512) -> DataFrame:

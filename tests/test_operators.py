@@ -51,6 +51,30 @@ def test_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_ids_of_more_than_999_images(spark):
+    """Ids keep all digits of the number that image_name prints, so no two images share one."""
+    rows = spark.createDataFrame([(i,) for i in (1, 99, 100, 999, 1000, 1001, 56470)], "i int")
+    own = rows.withColumn("om_id", N.image_id_of(N.image_name(F.col("i"), F.lit("20250510 10k-03-11.jpg"))))
+    got = own.select("i", "om_id", N.image_number(F.col("om_id")).alias("number"), N.image_number(F.lit("foo")).alias("none")).collect()
+    assert all((r.om_id, r.number, r.none) == (f"OM_{r.i:03d}", r.i, None) for r in got)
+
+
+def test_prepare_more_than_999_images(spark, tmp_path):
+    """Against the SQL, with as many suppliers as make numbers of four digits."""
+    import duckdb
+
+    from skygrid.plans.queries import ORACLE_SQL, QUERIES
+
+    spark.range(1, 1401).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(5000).select((F.col("id") % 1300 + 1).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("supplier", "lineitem"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["q_prepare"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL['q_prepare']}) order by idx").fetchall()
+    assert len(want) > 1000 and [tuple(r) for r in got.orderBy("idx").collect()] == want
+
+
 def test_tiling_stats(spark):
     images = spark.createDataFrame([(1, 10000, 10000), (2, 10000, 10000)], "om long, width long, height long")
     rows = spark.createDataFrame([(1, 1, 480.0, 100.0, 520.0, 140.0, "a"), (1, 2, 10.0, 10.0, 20.0, 20.0, None)], BOX)
