@@ -360,6 +360,20 @@ def test_fingerprints_against_plain_python(spark):
             assert v == pytest.approx(max(0.0, (share - 1 / 256) / (1 - 1 / 256)) if a and other else share)
 
 
+def test_hashes_of_joined_texts(spark):
+    """Taken over from both texts, they are those of the joined text hashed anew, wherever it is cut."""
+    from skygrid.llm.fingerprint import with_edited_hashes, with_hashes
+
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice(["a", "é", "b", " ", "\n\n", "\t"]) for _ in range(rng.randrange(80)))
+    rows = [(x, y, x[: rng.randrange(len(x) + 1)], y[: rng.randrange(len(y) + 1)]) for x, y in ((text(), text()) for _ in range(300))]
+    df = spark.createDataFrame(rows, "x string, y string, l string, r string").withColumn("lr", F.concat("l", "r"))
+    for words in (1, 5):
+        own = with_hashes(with_hashes(with_hashes(df, "x", "hx", words), "y", "hy", words), "lr", "want", words)
+        got = with_edited_hashes(own, F.col("l"), F.col("r"), F.col("hx"), F.col("hy"), "got", words).collect()
+        assert all(sorted(r.got) == sorted(r.want) for r in got)
+
+
 def test_next_documents(spark):
     """Order by (id, text) with null, least, repeated and tied ids, over many ranges."""
     from skygrid.llm.fingerprint import with_next
