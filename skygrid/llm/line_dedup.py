@@ -5,6 +5,9 @@ runs, which need no exchange for it: keys that no run has are fresh and enter wi
 add the number of documents that hold them.  The batch becomes a run of its own, and as soon as a level has ``fanout``
 runs they are compacted into one run of the next level.  So each key has one fresh row, which tells the document that keeps
 the line, and its number of documents is the sum over the runs.
+
+Runs and batches have as many files as their rows ask for, whatever the number of shuffle partitions.  Without Hadoop's native library
+each file takes two processes for its mode and that of its checksums, started by the executor.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from skygrid.llm.common import cut, delete, free_names, shared_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a run that a bucket holds, about.
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 100_000
 SCHEMA = "lo long, hi long, n long, top long, fresh boolean"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -43,8 +46,10 @@ class LineRuns:
         self.paths: dict[str, str] = {}
 
     def _write(self, run: DataFrame) -> str:
+        """A new run; a bucket's rows meet in one task, so it is one file however many tasks there are."""
         name = f"line_run_{uuid.uuid4().hex}"
-        out = run.select("lo", "hi", "n", "top", "fresh").repartition(self.buckets, "lo", "hi").write.bucketBy(self.buckets, "lo", "hi").sortBy("lo", "hi")
+        bucket = F.pmod(F.hash("lo", "hi"), F.lit(self.buckets))  # as the writer counts
+        out = run.select("lo", "hi", "n", "top", "fresh").repartition(self.buckets, bucket).write.bucketBy(self.buckets, "lo", "hi").sortBy("lo", "hi")
         self.paths[name] = shared_path(self.spark, name)
         out.option("path", self.paths[name]).saveAsTable(name)
         return name
@@ -110,10 +115,9 @@ def common_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min
     keys = line_hashes(docs, id_col, text_col, min_chars).distinct()  # rows that repeat an id are one document
     keys = keys.withColumn("batch", F.coalesce(batch, F.lit(batches - 1))).groupBy("batch", "lo", "hi").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     path = shared_path(spark, "line-batches")
-    keys.write.partitionBy("batch").parquet(path)
+    keys.hint("rebalance", F.col("batch")).write.partitionBy("batch").parquet(path)  # a batch's rows together, split by size
     stored = spark.read.schema(keys.select("lo", "hi", "n", "top", "batch").schema).parquet(path)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), stored.count() // BUCKET_ROWS + 1)
-    runs = LineRuns(spark, buckets)
+    runs = LineRuns(spark, stored.count() // BUCKET_ROWS + 1)
     for b in range(batches):
         runs.add(stored.where(F.col("batch") == b))
     common = cut(runs.merged().where(F.col("n") >= min_docs).drop("n"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import zlib
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skygrid.llm import html_extract, language, lm_score, quality
+from skygrid.llm import common, html_extract, language, line_dedup, lm_score, quality
 from skygrid.llm.components import connected
 from skygrid.llm.fingerprint import edited_fingerprints, fingerprints
 from skygrid.llm.line_dedup import LineRuns, dedup_lines
@@ -172,6 +173,40 @@ def test_line_runs(spark):
     runs.clear()
 
 
+def test_line_dedup_writes_few_files(spark, monkeypatch):
+    """What a small table's batches and runs are written to doesn't grow with the number of shuffle partitions."""
+    files = []
+
+    def delete(spark, path):
+        files.append(len(list(pathlib.Path(path).rglob("part-*.parquet"))))
+        common.delete(spark, path)
+
+    monkeypatch.setattr(line_dedup, "delete", delete)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shared = "This line is in all documents"
+        got = dedup_lines(documents(spark, [f"{shared}\nA line of document {i} alone\nAnother line that {i} has" for i in range(60)])).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.n_dropped for r in got} == {i: int(i < 59) for i in range(60)}
+    assert len(files) == 6 and sum(files) == 4 + 5  # four batches, four runs and a compaction
+
+
+def test_line_runs_of_many_tasks(spark, monkeypatch):
+    """A run has one file a bucket even where it is written by more tasks than it has buckets."""
+    rows = spark.range(500).selectExpr("id lo", "-id hi", "1L n", "id top", "true fresh")
+    runs, deal = LineRuns(spark, buckets=3), type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, n, *by: deal(self, 7 * n, *by))
+    name = runs._write(rows)
+    runs.levels[0].append(name)
+    assert len(list(pathlib.Path(runs.paths[name]).glob("part-*.parquet"))) == 3
+    assert {(r.lo, r.n, r.top) for r in runs.merged().collect()} == {(i, 1, i) for i in range(500)}
+    runs.clear()
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
